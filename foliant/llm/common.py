@@ -44,6 +44,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def stay(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with columns part and idx that name a row, written once and bucketed by part.
+
+    Rows stay where they were read: a join on (part, idx) shuffles only the other side, so whole texts
+    are stored once and never dealt out.
+    """
+    spark = df.sparkSession
+    # a table dealt by part alone also serves joins on (part, idx)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    key = f"foliant_{name}_{uuid.uuid4().hex}"
+    rows = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("idx"), *df.columns)
+    rows.write.bucketBy(max(1, min(4096, parts(spark))), "part").option("path", f"{shared_dir(spark)}/foliant/{key}").saveAsTable(key)
+    return spark.table(key)
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of an edge table (a long, b long) as (node, root), root the least node.
 
