@@ -23,10 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, stay
 
 #: Bins of the order per source.
-BINS = 65536
+BINS = 4096
 
 
 def draw(doc_id: Column) -> Column:
@@ -54,10 +54,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes), copies, source."""
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes), copies, source, and the columns ``keep``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select(*keep, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     sizes = cut(sizes, "sizes")
     t = source_targets(sizes, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -80,7 +80,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     running = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     close = d.where(at_edge).withColumn("more", 2 * (F.col("before") + running) + F.col("size") <= 2 * F.col("due"))
     copies = (F.col("whole") + F.col("more").cast("long")).cast("long")
-    return sure.unionByName(close).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
+    return sure.unionByName(close).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", *keep)
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    table = stay(docs, "mixed")
+    taken = mix(table, weights, share, most, keep=("part", "idx")).where("copies > 0").select("part", "idx", F.sequence(F.lit(1), "copies").alias("_times"))
+    return table.join(taken, ["part", "idx"]).select(*docs.columns, F.explode("_times").alias("_time")).drop("_time")
 
 
 MIX_SQL = r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, mixing, packing, pii, secrets, simhash, substrings, toxicity
+from . import ann, exact, lines, mixing, packing, pii, secrets, simhash, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir))
 
@@ -64,7 +69,7 @@ OP7_SQL = mixing.MIX_SQL.replace("AS taken,\n  (whole + CASE WHEN pi > 0 AND 2 *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op4_substring_dedup, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_best_fit_packing, op9_secret_scan, op10_personal_data)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_nearest_neighbours, op4_substring_dedup, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_best_fit_packing, op9_secret_scan, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

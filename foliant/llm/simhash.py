@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, cut, parts
+from .common import batches, components, cut, parts, stay
 
 #: Bits counted at once.
 _CHUNK = 1 << 18
@@ -64,7 +64,8 @@ def _prints(words: int):
     def prints(record_batches):
         for f in record_batches:
             fps = np.array([fingerprint(t, words) for t in f.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            keep = [c for c in f.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(f.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
     return prints
 
@@ -178,13 +179,29 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, block: int = 16384) ->
     return found.where("b is not null").select("a", "b").unionByName(by_variant)
 
 
+def _classes(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """(fp, root) of all distinct fingerprints; the root is any one of the component's."""
+    roots = components(fingerprint_links(prints, radius, block))
+    distinct = prints.select("fp").distinct()
+    return cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 16384) -> DataFrame:
+    """``docs`` with only the row of the least doc_id (null last, then as read) of each component."""
+    batches(docs.sparkSession)
+    table = stay(docs, "near")
+    rows = table.select("part", "idx", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = cut(rows.mapInArrow(_prints(words), "part int, idx long, doc_id long, fp long"), "prints")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "part", "idx")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(_classes(prints, radius, block), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    return table.join(best.select("best.part", "best.idx"), ["part", "idx"], "left_semi").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 16384) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     batches(docs.sparkSession)
     prints = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints(words), "doc_id long, fp long"), "prints")
-    roots = components(fingerprint_links(prints, radius, block))
-    ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    ids = cut(ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(least, "root").select("fp", "component_id")
+    classes = _classes(prints, radius, block)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -244,6 +244,18 @@ def _score(field: Field, share: float, threshold: float):
     return score
 
 
+def _keep(field: Field, share: float, threshold: float):
+    def keep(record_batches):
+        for batch in record_batches:
+            for k in range(0, batch.num_rows, 1000):
+                f = batch.slice(k, 1000)
+                texts = [t or "" for t in f.column("text").to_pylist()]
+                scores = np.full(len(texts), share) if field is None else field.score(field.features(texts)[0])
+                yield f.filter(pa.array(scores < threshold))
+
+    return keep
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -274,3 +286,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
         _score(field, share, threshold), "doc_id long, score double, predicted int, toxic_spans string"
     )
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1000) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold."""
+    batches(docs.sparkSession)
+    field, share = train(docs, labels, sample)
+    return docs.mapInArrow(_keep(field, share, threshold), docs.schema)
