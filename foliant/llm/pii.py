@@ -215,7 +215,11 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     else:
         added = F.expr("filter(candidates, c -> false)")
     t = t.withColumn("added", added)
-    named = [F.transform(k, lambda m, k=k: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string"))) for k in KINDS]
+
+    def written(kind: str) -> Column:
+        return F.transform(kind, lambda m: F.concat_ws(":", F.lit(kind), m["start"].cast("string"), m["end"].cast("string")))
+
+    named = [written(k) for k in KINDS]
     more = F.transform("added", lambda m: F.concat_ws(":", F.when(m["gen"] == 0, "mail").otherwise("number"), m["start"].cast("string"), m["end"].cast("string")))
     return t.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
