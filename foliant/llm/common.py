@@ -45,7 +45,7 @@ def parts(spark: SparkSession) -> int:
 
 
 def stay(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with columns part and idx that name a row, written once and bucketed by part.
+    """``df`` as (part, idx, row): part and idx name a row, whose columns are fields of row; written once and bucketed by part.
 
     Rows stay where they were read: a join on (part, idx) shuffles only the other side, so whole texts
     are stored once and never dealt out.
@@ -54,7 +54,7 @@ def stay(df: DataFrame, name: str) -> DataFrame:
     # a table dealt by part alone also serves joins on (part, idx)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     key = f"foliant_{name}_{uuid.uuid4().hex}"
-    rows = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("idx"), *df.columns)
+    rows = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("idx"), F.struct(*[df[c] for c in df.columns]).alias("row"))
     rows.write.bucketBy(max(1, min(4096, parts(spark))), "part").option("path", f"{shared_dir(spark)}/foliant/{key}").saveAsTable(key)
     return spark.table(key)
 

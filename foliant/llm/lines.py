@@ -14,7 +14,7 @@ compared by edit distance.
 
 Defined results: a null text stays null, with 0 lines; a document whose lines all go has an empty
 text; rows that repeat a doc_id are ordered as read; null ids come last; an empty table gives an
-empty result; extra columns pass through ``dedup_lines`` untouched.
+empty result; extra columns pass through ``dedup_lines`` untouched, but n_lines and n_removed are its own.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def _shared(rows: DataFrame, key: str, by: str) -> DataFrame:
 def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
     """(part, idx, removed array<int>) of the rows of a table made by ``stay`` that lose lines."""
     lines = cut(
-        table.select("part", "idx", F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(
+        table.select("part", "idx", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null").mapInArrow(
             _lines(min_chars), "part int, idx long, doc_id long, no int, h1 long, h2 long, keys array<long>"
         ), "lines",
     )
@@ -127,7 +127,7 @@ def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
     distinct = cut(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.min("keys").alias("keys")), "distinct")
     suspects = _shared(distinct.select("h1", "at", F.explode("keys").alias("key")), "key", "h1").select("h1", "at").distinct()
     marked = suspects.groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "h1")).alias("marked"))
-    texts = cut(table.select("part", "idx", F.col("text").cast("string")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
+    texts = cut(table.select("part", "idx", F.col("row.text").cast("string").alias("text")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
     # (h1, text) of the suspects, for the edit distance
     own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.h1").alias("h1"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("line"))
     met = _shared(texts.mapInArrow(_variants, "h1 long, kind byte, key long"), "key", "h1").join(distinct.select("h1", "at"), "h1")
@@ -149,11 +149,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     table = stay(docs, "lines")
     lost = cut(removed_lines(table, min_chars), "lost")
     whole = table.join(lost, ["part", "idx"], "left")
-    line = F.split(F.col("text").cast("string"), "\n")
+    line = F.split(F.col("row.text").cast("string"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(line, i + 1)), "\n"))
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")]
-    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *counts)
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(line, i + 1)), "\n"))
+    counts = [F.when(F.col("row.text").isNull(), 0).otherwise(F.size(line)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")]
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return whole.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own], *counts)
 
 
 LINES_SQL = r"""

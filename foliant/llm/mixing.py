@@ -86,8 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     table = stay(docs, "mixed")
-    taken = mix(table, weights, share, most, keep=("part", "idx")).where("copies > 0").select("part", "idx", F.sequence(F.lit(1), "copies").alias("_times"))
-    return table.join(taken, ["part", "idx"]).select(*docs.columns, F.explode("_times").alias("_time")).drop("_time")
+    taken = mix(table.select("part", "idx", "row.doc_id", "row.source", "row.text"), weights, share, most, keep=("part", "idx")).where("copies > 0").select("part", "idx", F.sequence(F.lit(1), "copies").alias("_times"))
+    return table.join(taken, ["part", "idx"]).select("row", F.explode("_times")).select("row.*")
 
 
 MIX_SQL = r"""

@@ -119,7 +119,7 @@ def _buckets(radius: int, block: int):
         out.extend((0, 0, int(signed[i]), int(signed[root[i]])) for i in np.flatnonzero(root != np.arange(len(fps))))
 
     def buckets(frames):
-        """Rows come sorted by bucket. Output rows (tab, key, a, b): links, or (b null) members of large buckets."""
+        """Rows come sorted by bucket. Output rows (tab, key, a, b): links, or (a = b) members of large buckets."""
         now, group, size = None, [], 0
         for f in frames:
             out: list[tuple] = []
@@ -134,15 +134,15 @@ def _buckets(radius: int, block: int):
                 size += b - a
                 if size > block:
                     tab, key = now
-                    out.extend((int(tab), int(key), int(x), None) for g in group for x in g.view(np.int64))
+                    out.extend((int(tab), int(key), int(x), int(x)) for g in group for x in g.view(np.int64))
                     group = []
             if out:
-                yield pd.DataFrame(out, columns=["tab", "key", "a", "b"]).astype({"tab": "int32", "key": "int64", "a": "int64", "b": "Int64"})
+                yield pd.DataFrame(out, columns=["tab", "key", "a", "b"]).astype({"tab": "int32"})
         if now and size <= block:
             out = []
             close(*now, group, out)
             if out:
-                yield pd.DataFrame(out, columns=["tab", "key", "a", "b"]).astype({"tab": "int32", "key": "int64", "a": "int64", "b": "Int64"})
+                yield pd.DataFrame(out, columns=["tab", "key", "a", "b"]).astype({"tab": "int32"})
 
     return buckets
 
@@ -172,11 +172,11 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, block: int = 16384) ->
     rows = distinct.mapInPandas(_tables(radius), "tab int, key long, fp long")
     rows = rows.repartition(parts(spark), "tab", "key").sortWithinPartitions("tab", "key", "fp")
     found = cut(rows.mapInPandas(_buckets(radius, block), "tab int, key long, a long, b long"), "buckets")
-    large = found.where("b is null").mapInPandas(_variants(radius), "tab int, near long, fp long")
+    large = found.where("a = b").mapInPandas(_variants(radius), "tab int, near long, fp long")
     # two members that share a variant and the kept bits of a table are within the radius
     star = large.groupBy("tab", "near").agg(F.min("fp").alias("b"))
     by_variant = large.join(star, ["tab", "near"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return found.where("b is not null").select("a", "b").unionByName(by_variant)
+    return found.where("a <> b").select("a", "b").unionByName(by_variant)
 
 
 def _classes(prints: DataFrame, radius: int, block: int) -> DataFrame:
@@ -190,11 +190,11 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 1
     """``docs`` with only the row of the least doc_id (null last, then as read) of each component."""
     batches(docs.sparkSession)
     table = stay(docs, "near")
-    rows = table.select("part", "idx", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = table.select("part", "idx", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     prints = cut(rows.mapInArrow(_prints(words), "part int, idx long, doc_id long, fp long"), "prints")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "part", "idx")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(_classes(prints, radius, block), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    return table.join(best.select("best.part", "best.idx"), ["part", "idx"], "left_semi").select(*docs.columns)
+    return table.join(best.select("best.part", "best.idx"), ["part", "idx"], "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 16384) -> DataFrame:

@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
         raise ValueError(f"length must exceed {GRAM}")
     spark = docs.sparkSession
     batches(spark)
-    table = stay(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts")
+    table = stay(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts").select("part", "idx", "row.*")
     schema = "part int, idx long, doc_id long, sha string, n_bytes long, pos array<long>, h array<long>, own array<struct<start:long,end:long>>"
     facts = cut(table.mapInArrow(_prepare(length, keep_first), schema), "anchors")
     d = F.coalesce("doc_id", F.lit((1 << 63) - 1))
