@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, query_search_terms
 from ..operators import evidence, graph, indexes, references, search, trees
-from ..operators.incremental import logic_fingerprint, node_fingerprints, upsert
+from ..operators.incremental import logic_fingerprint, node_fingerprints
 from ..sources.readers import source
 from .llm import Model, analyse
 from .navigator import Navigator
@@ -101,7 +101,10 @@ class Engine:
             context["catalog"] = todo
             for name in TABLES:
                 if name in context:
-                    self._write(name, upsert(self.table(name), context[name], ["doc_id"]) if self._exists(name) and name not in ("overlaps",) else context[name])
+                    rows = context[name]
+                    if self._exists(name):  # rows of recompiled documents give way, also where they have none now
+                        rows = self.table(name).join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(rows)
+                    self._write(name, rows)
         return {"compiled": n, "skipped": total - n}
 
     def list_documents(self) -> DataFrame:
@@ -138,7 +141,7 @@ class Engine:
         cands = gather(nodes, self.table("postings").join(scope, "doc_id", "left_semi"), self.table("evidence_scores").join(scope, "doc_id", "left_semi"), query_search_terms(query), a.keywords)
         best = cands.join(nodes.select("doc_id", "node_id", "title", "content"), ["doc_id", "node_id"]).where("content <> ''").orderBy(F.desc("score"), "doc_id", "node_id").limit(k)
         found = best.select(
-            F.lit(1).alias("ask"), F.row_number().over(_order()).alias("seq"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("node_id").cast("string")).alias("source_path"),
+            F.lit(1).alias("ask"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "node_id")).alias("seq"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("node_id").cast("string")).alias("source_path"),
             F.col("title").alias("node_title"), "content", F.col("doc_id").cast("string").alias("doc_name"), "score",
         )
         kept = evidence.dedup_evidence(found, "ask")
@@ -147,12 +150,6 @@ class Engine:
         return Answer(query, a.intent, float(min(1.0, top)), told[0].answer if told else "", kept)
 
 
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("score"), "source_path")
-
-
 def gather(nodes: DataFrame, postings: DataFrame, scores: DataFrame, terms: Sequence[str], keywords: Sequence[str]) -> DataFrame:
     """Candidates of each document from search, keyword entries and evidence scores, fused."""
     found = search.search_nodes(nodes, terms, 12)

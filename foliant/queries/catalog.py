@@ -845,3 +845,9 @@ def metrics_retrieval(spark, sf_dir):
 def metrics_ask(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ask_id"), (F.col("event_id") % 3).alias("llm_calls"), (F.col("event_id") % 5).alias("nodes_visited"), F.lit(1).alias("evidence"), (F.col("event_type") == "purchase").alias("checked"))
     return evidence.ask_metrics(e)
+
+
+# Spark's row numbers are 32-bit
+for _name in ("keyword_topk", "similar_nodes", "concepts", "bm25_search", "bm25_nodes", "evidence_ranked", "graph_trim", "router_fusion", "route_intent", "route_concept", "scout_fusion"):
+    SQL[_name] = f"SELECT * REPLACE (rank::INT AS rank) FROM ({SQL[_name]})"
+SQL["tree_children"] = f"SELECT * REPLACE (position::INT AS position) FROM ({SQL['tree_children']})"
