@@ -97,10 +97,9 @@ def siblings(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_pairs(nodes: DataFrame) -> DataFrame:
-    """(doc_id, ancestor_id, node_id), each node under itself too. Within a document, by its short ancestor chain."""
-    a = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("last_desc").alias("_last"))
-    b = nodes.select("doc_id", "node_id")
-    return a.join(b, "doc_id").where("node_id between ancestor_id and _last").select("doc_id", "ancestor_id", "node_id")
+    """(doc_id, ancestor_id, node_id), each node under itself too: by short ancestor chains, so no pair is made that isn't one."""
+    own = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), "node_id")
+    return own.unionByName(ancestors(nodes).select("doc_id", "ancestor_id", "node_id"))
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
