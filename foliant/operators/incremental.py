@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
-from .trees import subtree_pairs
 
 
 def node_fingerprints(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, title, content_fp, subtree_fp): the subtree's is a hash of its content hashes and depths in pre-order."""
-    own = nodes.select("doc_id", "node_id", "depth", "title", fingerprint(F.col("title"), F.col("content")).alias("content_fp"))
-    pairs = subtree_pairs(nodes).withColumnsRenamed({"node_id": "n", "ancestor_id": "node_id"})
-    below = own.select("doc_id", F.col("node_id").alias("n"), F.col("depth").alias("d"), F.col("content_fp").alias("f"))
-    pairs = pairs.join(below, ["doc_id", "n"]).join(own.select("doc_id", "node_id", "depth"), ["doc_id", "node_id"])
-    item = F.struct("n", F.concat((F.col("d") - F.col("depth")).cast("string"), F.lit(":"), "f").alias("s"))
-    tree = pairs.groupBy("doc_id", "node_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ","), 256).alias("subtree_fp"))
-    return own.join(tree, ["doc_id", "node_id"]).select("doc_id", "node_id", "title", "content_fp", "subtree_fp")
+    item = F.struct("node_id", "last_desc", "depth", "title", fingerprint(F.col("title"), F.col("content")).alias("fp"))
+    tree = nodes.select("doc_id", item.alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("t"))
+
+    def one(n):  # a subtree is a slice of the document's nodes
+        below = F.transform(F.slice("t", n["node_id"], n["last_desc"] - n["node_id"] + 1), lambda x: F.concat((x["depth"] - n["depth"]).cast("string"), F.lit(":"), x["fp"]))
+        return F.struct(n["node_id"].alias("node_id"), n["title"].alias("title"), n["fp"].alias("content_fp"), F.sha2(F.array_join(below, ","), 256).alias("subtree_fp"))
+
+    return tree.select("doc_id", F.explode(F.transform("t", one)).alias("n")).select("doc_id", "n.*")
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
