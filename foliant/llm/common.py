@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="foliant-"))
+        path = tempfile.mkdtemp(prefix="foliant-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dir.append("file://" + path)
     return _own_dir[0]
 
 
