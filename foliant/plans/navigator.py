@@ -113,3 +113,24 @@ class Navigator:
     def evidence_score(self, node_id: int | None = None) -> float:
         row = self.tables["evidence_scores"].where(F.col("node_id") == (node_id or self.cursor)).first()
         return row.composite if row else 0.0
+
+    def doc_card(self) -> Row | None:
+        return self.tables["doc_cards"].first()
+
+    def concepts(self) -> list[Row]:
+        return self.tables["concepts"].orderBy("rank").collect()
+
+    def section_overview(self, name: str) -> str | None:
+        """The overview of a top section by title or number."""
+        n = self.find_section(name)
+        row = self.tables["nav_entries"].where(F.col("node_id") == n).first() if n else None
+        return row.overview if row else (self._node(n).title if n else None)
+
+    def related_sections(self, keyword: str) -> list[int]:
+        """Nodes that hold a keyword, heaviest first and once each."""
+        return list(dict.fromkeys(r.node_id for r in self.keyword_entries(keyword)))
+
+    def overlaps_for(self, node_id: int | None = None) -> list[Row]:
+        from ..operators import indexes
+
+        return indexes.overlaps_for(self.tables["overlaps"]).where(F.col("node_id") == (node_id or self.cursor)).orderBy("other_id").collect()

@@ -237,3 +237,28 @@ def test_snippet_and_search(spark):
     assert {r.doc_id for r in got} == {1, 3} and got[0].doc_id == 3
     s = next(r.snippet for r in got if r.doc_id == 1)
     assert s.startswith("…") and s.endswith("…") and "needle" in s
+
+
+def test_enhance_and_verify(spark):
+    from foliant.operators import enhance
+
+    t = leaves(spark, ["First sentence here. " + "more words follow " * 30, "short"])
+    got = {r.node_id: r for r in enhance.enhance(t, indexes.postings(t)).collect()}
+    assert got[2].summary == "First sentence here." and got[3].summary == "short" and got[2].tags
+    by = {r.node_id: r for r in enhance.enhance_by_model(t, lambda p: "OVERVIEW: about x\nQUESTIONS: what?; why?\nTAGS: a, b").collect()}
+    assert by[2].summary == "about x" and by[2].hints == ["what?", "why?"] and by[3].tags == ["a", "b"]
+    assert enhance.verify(t) == []
+    with pytest.raises(ValueError):
+        enhance.verify(t.limit(0))
+
+
+def test_config(monkeypatch, tmp_path):
+    from foliant.config import Config
+
+    (tmp_path / "c.json").write_text('{"graph_edges": 5, "route_results": 3}')
+    monkeypatch.setenv("FOLIANT_ROUTE_RESULTS", "7")
+    c = Config.load(str(tmp_path / "c.json"), graph_keywords=9)
+    assert (c.graph_edges, c.route_results, c.graph_keywords) == (5, 7, 9)
+    for bad in ({"nope": 1}, {"graph_edges": 0}, {"overlap_threshold": 2.0}):
+        with pytest.raises(ValueError):
+            Config.load(None, **bad)
