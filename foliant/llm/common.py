@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(spark: SparkSession, rows: int = 2000) -> None:
+def batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds the rows of an Arrow batch, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(f):
+    """``f`` over record batches, and afterwards what it freed goes back to the system: workers wait for later tasks."""
+
+    def run(record_batches):
+        yield from f(record_batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions to deal keys out to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

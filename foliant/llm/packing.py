@@ -20,6 +20,7 @@ doc_id are packed each; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, parts
+from .common import batches, cut, parts, tidy
 
 #: Runs that make byte-pair merging slow in tiktoken; texts with one go to tokenizers, which merges by a heap.
 _LONG_RUN = re.compile(r"\S{4096}|\s{4096}")
@@ -52,10 +53,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
         special = {t["content"] for t in vocabulary["added_tokens"]}
@@ -63,6 +62,14 @@ class Encoder:
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.encode_special_tokens = True
+        return t
+
     def encode(self, text: str) -> np.ndarray:
         if _LONG_RUN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -235,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, closing: int = 2, capaci
     spark = docs.sparkSession
     batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, pattern, closing, capacity), schema), "pieces")
+    pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_pieces(tokenizer, pattern, closing, capacity)), schema), "pieces")
     n = parts(spark)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
     by_salt = cut(salted.groupBy("length", "salt").count(), "lengths")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, cut, parts, stay
+from .common import batches, components, cut, parts, stay, tidy
 
 #: Bits counted at once.
 _CHUNK = 1 << 18
@@ -169,9 +169,11 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, block: int = 16384) ->
         raise ValueError("an even radius is needed for exact links in large buckets")
     spark = prints.sparkSession
     distinct = prints.select("fp").distinct()
-    rows = distinct.mapInPandas(_tables(radius), "tab int, key long, fp long")
+    rows = distinct.mapInPandas(tidy(_tables(radius)), "tab int, key long, fp long")
     rows = rows.repartition(parts(spark), "tab", "key").sortWithinPartitions("tab", "key", "fp")
-    found = cut(rows.mapInPandas(_buckets(radius, block), "tab int, key long, a long, b long"), "buckets")
+    batches(spark, 20000)  # rows of three numbers
+    found = cut(rows.mapInPandas(tidy(_buckets(radius, block)), "tab int, key long, a long, b long"), "buckets")
+    batches(spark)
     large = found.where("a = b").mapInPandas(_variants(radius), "tab int, near long, fp long")
     # two members that share a variant and the kept bits of a table are within the radius
     star = large.groupBy("tab", "near").agg(F.min("fp").alias("b"))
@@ -191,7 +193,7 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 1
     batches(docs.sparkSession)
     table = stay(docs, "near")
     rows = table.select("part", "idx", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    prints = cut(rows.mapInArrow(_prints(words), "part int, idx long, doc_id long, fp long"), "prints")
+    prints = cut(rows.mapInArrow(tidy(_prints(words)), "part int, idx long, doc_id long, fp long"), "prints")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "part", "idx")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(_classes(prints, radius, block), "fp").groupBy("root").agg(F.min("best").alias("best"))
     return table.join(best.select("best.part", "best.idx"), ["part", "idx"], "left_semi").select("row.*")
@@ -200,7 +202,7 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 1
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 16384) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     batches(docs.sparkSession)
-    prints = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints(words), "doc_id long, fp long"), "prints")
+    prints = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_prints(words)), "doc_id long, fp long"), "prints")
     classes = _classes(prints, radius, block)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")

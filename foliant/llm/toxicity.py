@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, tidy
 
 WORDS = re.compile(r"\w+")
-LANE = 1024
+LANE = 512
 
 
 def chain_pass(e: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class Field:
 
     def weights(self, words: list[str]) -> list[float]:
         known, out = self._known, []
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words:
             x = known.get(w)
@@ -107,16 +107,16 @@ class Field:
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Per text: 1, log odds of the largest marginal, log of 1 + their sum, density; and the marginals."""
-        tokens = [WORDS.findall(t) for t in texts]
-        counts = np.array([len(w) for w in tokens], np.int64)
+        each = [np.array(self.weights(WORDS.findall(t))) for t in texts]
+        counts = np.array([len(w) for w in each], np.int64)
         out = np.tile(np.array([1.0, -12.0, 0.0, 0.0]), (len(texts), 1))
-        every = [x for w in tokens for x in self.weights(w)]
-        if not every:
+        if not counts.any():
             return out, [np.zeros(0)] * len(texts)
+        every = np.concatenate(each)
         at = np.concatenate([[0], np.cumsum(counts)])
         starts = np.zeros(len(every), bool)
         starts[at[:-1][counts > 0]] = True
-        p, _, _ = marginals(np.array(every), starts, self.trans, self.first)
+        p, _, _ = marginals(every, starts, self.trans, self.first)
         split = np.split(p, at[1:-1])
         for i, q in enumerate(split):
             if len(q):
@@ -159,10 +159,9 @@ def fit(texts: list[str], toxic: list[int], prior: float, ratio: float = 10.0, r
     """Fits the field and its document curve; ``prior`` is the share of toxic documents among all labelled ones."""
     y = np.array(toxic, bool)
     kept = distinct_texts(texts, sorted(range(len(texts)), key=lambda i: (texts[i], i)))
-    tokens = {i: [w.lower() for w in WORDS.findall(texts[i])] for i in kept}
     df = [Counter(), Counter()]
     for i in kept:
-        df[int(y[i])].update(set(tokens[i]))
+        df[int(y[i])].update({w.lower() for w in WORDS.findall(texts[i])})
     n1, n0 = max(1, sum(bool(y[i]) for i in kept)), max(1, sum(not y[i] for i in kept))
     least = max(5, 0.02 * n1)
     lexicon = {w for w, k in df[1].items() if k >= least and k / n1 >= ratio * (df[0][w] + 0.5) / n0}
@@ -174,14 +173,15 @@ def fit(texts: list[str], toxic: list[int], prior: float, ratio: float = 10.0, r
         head_id.setdefault(w[:5], len(head_id) + 1)
     wid, hid, label, starts = [], [], [], []
     for i in kept:
-        for k, w in enumerate(tokens[i]):
-            wid.append(word_id.get(w, 0))
-            hid.append(head_id.get(w[:5], 0))
-            label.append(bool(y[i]) and w in lexicon)
-            starts.append(k == 0)
+        tokens = [w.lower() for w in WORDS.findall(texts[i])]
+        if tokens:
+            wid.append(np.array([word_id.get(w, 0) for w in tokens], np.int32))
+            hid.append(np.array([head_id.get(w[:5], 0) for w in tokens], np.int32))
+            label.append(np.array([bool(y[i]) and w in lexicon for w in tokens]))
+            starts.append(np.arange(len(tokens)) == 0)
     field = Field({}, {}, -6.0, np.array([[0.99, 0.01], [0.7, 0.3]]), np.array([0.99, 0.01]))
     if label:
-        wid, hid, label, starts = np.array(wid), np.array(hid), np.array(label, float), np.array(starts)
+        wid, hid, label, starts = np.concatenate(wid), np.concatenate(hid), np.concatenate(label).astype(np.float32), np.concatenate(starts)
         theta = np.zeros(len(word_id) + len(head_id) + 3)
         nw, total = len(word_id) + 1, len(label)
         theta[-1] = -6.0
@@ -212,7 +212,7 @@ def fit(texts: list[str], toxic: list[int], prior: float, ratio: float = 10.0, r
         field.words = {w: float(theta[i]) for w, i in word_id.items() if abs(theta[i]) > 1e-3}
         field.heads = {h: float(theta[nw + i]) for h, i in head_id.items() if abs(theta[nw + i]) > 1e-3}
 
-    f = np.concatenate([field.features([texts[i] for i in kept[k : k + 500]])[0] for k in range(0, len(kept), 500)])
+    f = np.concatenate([field.features([texts[i] for i in kept[k : k + 250]])[0] for k in range(0, len(kept), 250)])
     t = np.array([float(y[i]) for i in kept])
     weight = np.where(t > 0, prior / n1, (1 - prior) / n0) * len(kept)
     curve = np.zeros(4)
@@ -228,8 +228,8 @@ def fit(texts: list[str], toxic: list[int], prior: float, ratio: float = 10.0, r
 def _score(field: Field, share: float, threshold: float):
     def score(record_batches):
         for batch in record_batches:
-            for k in range(0, batch.num_rows, 1000):
-                f = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                f = batch.slice(k, 500)
                 texts = [t or "" for t in f.column("text").to_pylist()]
                 if field is None:
                     scores, spans = np.full(len(texts), share), [""] * len(texts)
@@ -247,8 +247,8 @@ def _score(field: Field, share: float, threshold: float):
 def _keep(field: Field, share: float, threshold: float):
     def keep(record_batches):
         for batch in record_batches:
-            for k in range(0, batch.num_rows, 1000):
-                f = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                f = batch.slice(k, 500)
                 texts = [t or "" for t in f.column("text").to_pylist()]
                 scores = np.full(len(texts), share) if field is None else field.score(field.features(texts)[0])
                 yield f.filter(pa.array(scores < threshold))
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     batches(docs.sparkSession)
     field, share = train(docs, labels, sample)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _score(field, share, threshold), "doc_id long, score double, predicted int, toxic_spans string"
+        tidy(_score(field, share, threshold)), "doc_id long, score double, predicted int, toxic_spans string"
     )
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
 
@@ -292,4 +292,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """``docs`` without the rows whose score reaches the threshold."""
     batches(docs.sparkSession)
     field, share = train(docs, labels, sample)
-    return docs.mapInArrow(_keep(field, share, threshold), docs.schema)
+    return docs.mapInArrow(tidy(_keep(field, share, threshold)), docs.schema)
