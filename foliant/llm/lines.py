@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, stay
+from .common import batches, cut, stay, tidy
 
 WHITE_CHARS = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
@@ -57,7 +57,7 @@ def half_keys(line: str) -> list[int]:
     return out
 
 
-def variant_keys(line: str) -> tuple[list[int], list[int]]:
+def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     """(kinds, keys): 0 the line itself, 1 its deletions, 2 its deletions with their place."""
     c = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
     n = len(c)
@@ -67,8 +67,8 @@ def variant_keys(line: str) -> tuple[list[int], list[int]]:
     less = mixed(less ^ mixed(np.array([n - 1], np.uint64)))
     placed = mixed(less * np.uint64(3) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE))
     once = np.unique(less)
-    kinds = [0] + [1] * len(once) + [2] * n
-    return kinds, np.concatenate([own, once, placed]).view(np.int64).tolist()
+    kinds = np.repeat(np.array([0, 1, 2], np.int8), [1, len(once), n])
+    return kinds, np.concatenate([own, once, placed]).view(np.int64)
 
 
 def _lines(min_chars: int):
@@ -95,42 +95,47 @@ def _lines(min_chars: int):
 
 
 def _variants(record_batches):
+    def batch(parts):
+        h, kinds, keys = zip(*parts, strict=True)
+        h1 = np.repeat(np.array(h, np.int64), [len(k) for k in kinds])
+        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], ["h1", "kind", "key"])
+
     for f in record_batches:
-        out_h, out_k, out_key = [], [], []
+        parts, size = [], 0
         for text, marked in zip(f.column("text").to_pylist(), f.column("marked").to_pylist(), strict=True):
             lines = text.split("\n")
             for m in marked:
-                kinds, keys = variant_keys(lines[m["no"]].strip(WHITE_CHARS))
-                out_h += [m["h1"]] * len(kinds)
-                out_k += kinds
-                out_key += keys
-            if len(out_h) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_k, pa.int8()), pa.array(out_key, pa.int64())], ["h1", "kind", "key"])
-                out_h, out_k, out_key = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_k, pa.int8()), pa.array(out_key, pa.int64())], ["h1", "kind", "key"])
+                parts.append((m["h1"], *variant_keys(lines[m["no"]].strip(WHITE_CHARS))))
+                size += len(parts[-1][1])
+                if size > 500_000:
+                    yield batch(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch(parts)
 
 
-def _shared(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """Rows whose ``key`` another row has too."""
-    w = Window.partitionBy(key).orderBy(by)
-    return rows.withColumn("_b", F.lag(by).over(w)).withColumn("_a", F.lead(by).over(w)).where("_a is not null or _b is not null").drop("_a", "_b")
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (h1, key, …) whose key another row has too: one shuffle, and a sorted pass that keeps no group."""
+    w = Window.partitionBy("key").orderBy("h1")
+    near = rows.withColumn("_b", F.lag("h1").over(w)).withColumn("_a", F.lead("h1").over(w))
+    return near.where("_a is not null or _b is not null").drop("_a", "_b")
 
 
 def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
     """(part, idx, removed array<int>) of the rows of a table made by ``stay`` that lose lines."""
     lines = cut(
         table.select("part", "idx", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null").mapInArrow(
-            _lines(min_chars), "part int, idx long, doc_id long, no int, h1 long, h2 long, keys array<long>"
+            tidy(_lines(min_chars)), "part int, idx long, doc_id long, no int, h1 long, h2 long, keys array<long>"
         ), "lines",
     )
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("no").alias("n"), F.col("part").alias("p"), F.col("idx").alias("i"))
     distinct = cut(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.min("keys").alias("keys")), "distinct")
-    suspects = _shared(distinct.select("h1", "at", F.explode("keys").alias("key")), "key", "h1").select("h1", "at").distinct()
-    marked = suspects.groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "h1")).alias("marked"))
+    suspects = _shared(distinct.select("h1", F.explode("keys").alias("key"))).select("h1").distinct()
+    marked = distinct.select("h1", "at").join(suspects, "h1", "left_semi").groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "h1")).alias("marked"))
     texts = cut(table.select("part", "idx", F.col("row.text").cast("string").alias("text")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
     # (h1, text) of the suspects, for the edit distance
     own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.h1").alias("h1"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("line"))
-    met = _shared(texts.mapInArrow(_variants, "h1 long, kind byte, key long"), "key", "h1").join(distinct.select("h1", "at"), "h1")
+    met = _shared(texts.mapInArrow(tidy(_variants), "h1 long, kind byte, key long")).join(distinct.select("h1", "at"), "h1")
     met = cut(met.withColumn("who", F.struct("at", "h1")), "met")
     first = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("who"))).alias(f"w{k}") for k in (0, 1, 2)])
     mate = F.when(F.col("kind") == 0, F.col("w1")).when(F.col("kind") == 1, F.col("w0")).otherwise(F.col("w2"))
