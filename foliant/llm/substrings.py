@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, cut, parts, stay
@@ -264,25 +264,24 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
 
     each = facts.where("is_first and size(h) > 0").select("part", "idx", "d", F.explode(F.arrays_zip("pos", "h")).alias("a"))
     each = each.select("part", "idx", "d", F.col("a.pos").alias("pos"), F.col("a.h").alias("h"))
-    w = Window.partitionBy("h").orderBy("part", "idx", "pos")
-    again = each.withColumn("b", F.lag("idx").over(w)).withColumn("c", F.lead("idx").over(w)).where("b is not null or c is not null").drop("b", "c")
-    again = cut(again, "again")
-    large = again.groupBy("h").count().where(F.col("count") > block).select("h", F.lit(True).alias("large"))
-    marked = again.join(large, "h", "left").groupBy("part", "idx", "d").agg(F.collect_list(F.struct("pos", "h", F.coalesce("large", F.lit(False)).alias("large"))).alias("marked"))
+    # counted by partial sums; a hot anchor can be split in the join
+    times = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    again = cut(each.join(times, "h").withColumn("large", F.col("times") > block), "again")
+    marked = again.groupBy("part", "idx", "d").agg(F.collect_list(F.struct("pos", "h", "large")).alias("marked"))
     context = table.select("part", "idx", "text").join(marked, ["part", "idx"]).mapInArrow(
         _contexts(length), "h long, part int, idx long, d long, pos long, left int, ctx binary, strings array<binary>"
     )
     # groups beyond the block size are known to be absent or not before the plan is made
-    dense = large.limit(1).count() > 0
+    dense = not again.where("large").isEmpty()
     small = context.where("ctx is not null") if dense else context
     dealt = small.drop("strings").repartition(parts(spark), "h").sortWithinPartitions("h")
     spans = dealt.mapInPandas(_runs(length, keep_first), "part int, idx long, start long, end long")
     if dense:
         s = context.where("strings is not null").select("part", "idx", "d", (F.col("pos") - F.col("left")).alias("base"), F.posexplode("strings").alias("k", "s"))
         s = s.withColumn("start", F.col("base") + F.col("k")).select("part", "idx", "d", "s", "start").distinct()
-        w = Window.partitionBy("s").orderBy("d", "part", "idx", "start")
-        s = s.withColumn("b", F.lag("start").over(w)).withColumn("c", F.lead("start").over(w))
-        s = s.where("b is not null" if keep_first else "b is not null or c is not null")
+        place = F.struct("d", "part", "idx", "start")
+        s = s.join(s.groupBy("s").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "s")
+        s = s.where(place != F.col("first")) if keep_first else s
         spans = spans.unionByName(s.select("part", "idx", "start", (F.col("start") + length).alias("end")))
     own = facts.where("is_first and size(own) > 0").select("part", "idx", F.explode("own").alias("o")).select("part", "idx", "o.start", "o.end")
     return table, facts, spans.unionByName(own)
