@@ -240,11 +240,18 @@ def split_leaves(spark, sf_dir):
 
 @query(f"WITH {SQL_NODES} SELECT doc_id, node_id, parent_id, depth, structure, title, content FROM nodes WHERE depth < 2")
 def structure_json(spark, sf_dir):
-    """The JSON export read back."""
+    """The JSON export of roots and blocks read back; structure_json_all has the leaves too."""
     j = trees.structure_json(nodes(spark, sf_dir).where("depth < 2"))
     return j.select("doc_id", F.from_json("json", "node_id int, parent_id int, depth int, structure string, title string, content string").alias("j")).select("doc_id", "j.*")
 
 
+@query(f"WITH {SQL_NODES} SELECT doc_id, node_id, parent_id, depth, structure, title, content FROM nodes")
+def structure_json_all(spark, sf_dir):
+    """The JSON export of every node read back."""
+    j = trees.structure_json(nodes(spark, sf_dir))
+    return j.select("doc_id", F.from_json("json", "node_id int, parent_id int, depth int, structure string, title string, content string").alias("j")).select("doc_id", "j.*")
+
+
 # keyword indexes
 
 SQL_POSTINGS = f"""{SQL_NODES},
