@@ -4,16 +4,20 @@ Every string of ``length`` bytes holds an anchor: the rightmost of its k-grams w
 Equal strings hold the same anchor at the same place, so only anchors that occur twice need a look,
 and only the bytes around them (at most ``length`` on either side) travel, grouped by anchor.
 
-Within a group the suffixes that start at an anchor are sorted, and the order of those that start one
-byte earlier is induced from it, down to the first that can hold the anchor. In each suffix order, a
-run of neighbours with a common prefix of ``length`` bytes is where a suffix's previous or next
-smaller position reaches that length: all of the run but its earliest position have a longest
-previous factor of at least ``length``, and the earliest has a later match. So whole runs mark bytes
-to remove, or all but the earliest where the first copy is kept.
+Within a group the suffixes that start at an anchor are sorted, with the lengths of the common
+prefixes of neighbours, byte by byte. From these the order and the common prefixes of the suffixes
+that start one byte earlier are induced, down to the first that can hold the anchor. For each start
+the previous and the next smaller position in suffix order (those of earlier members) give each
+suffix's longest previous factor. A string is a repeat where that reaches ``length``; the earliest of
+equal strings, which has none, is the one that such a suffix's smaller position points at.
+
+A group of more than ``block`` anchors is split: the span of its starts is halved, members fall apart
+by the bytes that all strings of a half share, and members whose bytes agree throughout a half are
+merged into their earliest one, until no group is larger. At a single start the shared bytes are the
+string, so every group ends. No group is gathered into one task beyond ``block`` members.
 
 Texts equal as wholes are one text with a count. A stretch that repeats itself with a short period is
-resolved within its text. Groups of more than ``block`` anchors don't go to one task: their strings
-are grouped by hash instead, in space linear in the group.
+resolved within its text. Long texts are hashed in segments, so the working memory has a bound.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose nothing; rows that repeat a
 doc_id each get a row; with ``keep_first`` the earliest by doc_id (null last), then as read, stays;
@@ -22,6 +26,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
@@ -38,7 +43,9 @@ from .lines import mixed
 GRAM = 96
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
-_SLOT = np.uint64((1 << 28) - 1)
+_SLOT = np.uint64((1 << 22) - 1)
+#: Bytes hashed at once; longer texts go in segments that overlap by a string.
+SEGMENT = 1 << 21
 _MEMBERS = 8192
 _tables: dict[int, np.ndarray] = {}
 
@@ -53,6 +60,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of all strings of ``length`` bytes of ``data``."""
+    if len(data) <= SEGMENT:
+        return _segment_anchors(data, length)
+    step = SEGMENT - length + 1  # each string lies in a segment
+    each = [(k, *_segment_anchors(data[k : k + SEGMENT], length)) for k in range(0, len(data) - length + 1, step)]
+    at, first = np.unique(np.concatenate([k + a for k, a, _ in each]), return_index=True)
+    return at, np.concatenate([h for _, _, h in each])[first]
+
+
+def _segment_anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     n, w = len(data) - GRAM + 1, length - GRAM + 1
     if n < w:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -60,8 +76,6 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(_B, len(c)), dtype=np.uint64)])
     h = mixed((pre[GRAM:] - pre[:-GRAM]) * _powers(_B_INVERSE, n))
     # sliding minimum of (hash, later position first) over w grams, from block-wise running minima
-    if n > int(_SLOT):
-        raise ValueError("a text may have at most 2^28 bytes")
     key = (h & ~_SLOT) | (_SLOT - np.arange(n, dtype=np.uint64))
     blocks = -(-n // w)
     padded = np.full(blocks * w, ~np.uint64(0), np.uint64)
@@ -120,28 +134,50 @@ def _prepare(length: int, keep_first: bool):
     return prepare
 
 
+def _halves(length: int):
+    """Members of hot groups once per half of their starts: key of the bytes that all its strings share, digest of all its bytes."""
+    back = length - GRAM
+
+    def halves(record_batches):
+        names = ["key", "part", "idx", "d", "pos", "lo", "hi", "first", "last", "digest"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for f in record_batches:
+            rows: list[tuple] = []
+            for t, part, idx, d, marked in zip(*(f.column(c).to_pylist() for c in ("text", "part", "idx", "d", "marked")), strict=True):
+                data = t.encode("utf-8")
+                for m in marked:
+                    base, mid = m["pos"] - back, (m["lo"] + m["hi"]) // 2
+                    for lo, hi in ((m["lo"], mid), (mid + 1, m["hi"])):
+                        # the starts of this text that lie in the half
+                        a, b = max(lo, -base), min(hi, len(data) - length - base)
+                        if a <= b:
+                            core, whole = data[base + hi : base + lo + length], data[max(0, base + lo) : base + hi + length]
+                            key = xxhash.xxh64_intdigest(core, lo) - (1 << 63)
+                            rows.append((key, part, idx, d, m["pos"], lo, hi, a, b, hashlib.blake2b(whole, digest_size=16, key=b"%d:%d" % (a - lo, b - lo)).digest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return halves
+
+
 def _contexts(length: int):
-    """Bytes around each marked anchor; of anchors in too large groups, hashes of all strings that can hold it."""
+    """The bytes that the strings of each marked member can cover; ``left`` of them come before the last start."""
     back = length - GRAM
 
     def contexts(record_batches):
-        names = ["h", "part", "idx", "d", "pos", "left", "ctx", "strings"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
+        names = ["h", "part", "idx", "d", "pos", "lo", "hi", "left", "ctx"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for f in record_batches:
             rows: list[tuple] = []
             size = 0
             for t, part, idx, d, marked in zip(*(f.column(c).to_pylist() for c in ("text", "part", "idx", "d", "marked")), strict=True):
                 data = t.encode("utf-8")
                 for m in marked:
-                    p = m["pos"]
-                    a = max(0, p - back)
-                    ctx = data[a : p + length]
-                    if m["large"]:
-                        ends = range(len(ctx) - length + 1)
-                        rows.append((m["h"], part, idx, d, p, p - a, None, [xxhash.xxh3_128_digest(ctx[k : k + length]) for k in ends]))
-                    else:
-                        rows.append((m["h"], part, idx, d, p, p - a, ctx, None))
-                    size += len(ctx) * (1 if not m["large"] else 16)
+                    last = m["pos"] - back + m["hi"]
+                    a = max(0, last - (m["hi"] - m["lo"]))
+                    ctx = data[a : last + length]
+                    rows.append((m["h"], part, idx, d, m["pos"], m["lo"], m["hi"], last - a, ctx))
+                    size += len(ctx)
                     if size > 16_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows, size = [], 0
@@ -151,46 +187,86 @@ def _contexts(length: int):
     return contexts
 
 
-def suffix_runs(group: np.ndarray, ctx: list[bytes], left: np.ndarray, order: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
-    """Marks [member, k]: whether the string that starts ``k`` bytes after the first that can hold its anchor is to go.
+def smaller_position(place: np.ndarray, lcp: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix in order: the nearest one before it with a smaller place (below 0: none), and their common prefix.
 
-    ``group`` numbers the anchors' groups, ``left`` is where the anchor starts in ``ctx``, ``order`` ranks members by position.
+    ``lcp[i]`` is the common prefix of suffixes i - 1 and i. Found by steps of falling powers of two over
+    running minima, for all suffixes at once, as far as 2 ** levels - 1 suffixes away.
     """
-    n, back = len(ctx), length - GRAM
-    grid = np.zeros((n, back + length), np.uint8)
+    least, low = [place], [lcp]
+    for k in range(levels - 1):
+        s = 1 << k
+        for t in (least, low):
+            wide = t[-1].copy()
+            wide[s:] = np.minimum(wide[s:], t[k][:-s])
+            t.append(wide)
+    at, common = np.arange(len(place)) - 1, lcp.copy()
+    for k in range(levels - 1, -1, -1):
+        here = np.maximum(at, 0)
+        skip = (at >= 0) & (least[k][here] > place)
+        common = np.where(skip, np.minimum(common, low[k][here]), common)
+        at = np.where(skip, at - (1 << k), at)
+    return at, np.where(at >= 0, common, 0)
+
+
+def longest_previous(place: np.ndarray, lcp: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors of suffixes in order, and for each the suffix of smaller place that has it."""
+    before, common = smaller_position(place, lcp, levels)
+    back = np.append(lcp[1:], 0)[::-1]
+    after, other = smaller_position(place[::-1], np.concatenate([[0], back[1:]]) if len(back) else back, levels)
+    after, other = len(place) - 1 - after[::-1], other[::-1]
+    return np.maximum(common, other), np.where(common >= other, before, after)
+
+
+def repeated_starts(group: np.ndarray, ctx: list[bytes], left: np.ndarray, width: int, place: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
+    """Marks [member, k]: whether the string that starts ``k`` bytes after a member's first start is to go.
+
+    ``group`` numbers the members' groups, ``left`` is where in ``ctx`` the last of the ``width + 1`` starts
+    lies, ``place`` ranks members by position.
+    """
+    n = len(ctx)
+    grid = np.zeros((n, width + length), np.uint8)
     for i, (c, a) in enumerate(zip(ctx, left.tolist(), strict=True)):
-        grid[i, back - a : back - a + len(c)] = np.frombuffer(c, np.uint8)
-    begin = back - left
-    stop = begin + np.fromiter(map(len, ctx), np.int64, n)
-    cols = np.ascontiguousarray(grid.T)
+        grid[i, width - a : width - a + len(c)] = np.frombuffer(c, np.uint8)
+    begin = width - left
+    rest = np.fromiter(map(len, ctx), np.int64, n) - left
     suffixes = [c[a:] for c, a in zip(ctx, left.tolist(), strict=True)]
-    first = sorted(range(n), key=lambda i: (group[i], suffixes[i]))
-    rank = np.empty(n, np.int64)
-    rank[first] = np.arange(n)
-    power = _powers(_B, length)
-    h = np.zeros(n, np.uint64)
-    for k in range(length):
-        h += (cols[back + k].astype(np.uint64) + np.uint64(1)) * power[k]
-    marks = np.zeros((back + 1, n), bool)
     g = group.astype(np.int64)
-    for o in range(back, -1, -1):
-        if o < back:
-            symbol = np.where((o >= begin) & (o < stop), cols[o].astype(np.int64) + 1, 0)
-            by = np.argsort((g * 257 + symbol) * n + rank)
+    by = np.array(sorted(range(n), key=lambda i: (g[i], suffixes[i])), np.int64)
+    levels = max(1, int(np.bincount(g).max()).bit_length())
+    lcp = np.zeros(n, np.int64)
+    for i in range(1, n, 1024):  # common prefixes of neighbours at the last start, from the bytes
+        b, a = by[i : i + 1024], by[i - 1 : i - 1 + min(1024, n - i)]
+        differ = grid[a, width:] != grid[b, width:]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+        lcp[i : i + 1024] = np.where(g[a] == g[b], np.minimum(same, np.minimum(rest[a], rest[b])), 0)
+    cols = np.ascontiguousarray(grid[:, :width].T)
+    marks = np.zeros((width + 1, n), bool)
+    rank = np.empty(n, np.int64)
+    for o in range(width, -1, -1):
+        if o < width:
             rank[by] = np.arange(n)
-            new, old = cols[o].astype(np.uint64) + np.uint64(1), cols[o + length].astype(np.uint64) + np.uint64(1)
-            h = new + np.uint64(_B) * (h - old * power[length - 1])
-        else:
-            by = np.argsort(rank)
-        ok = ((o >= begin) & (o + length <= stop))[by]
-        hs, gs = h[by], g[by]
-        equal = (hs[1:] == hs[:-1]) & (gs[1:] == gs[:-1]) & ok[1:] & ok[:-1]
-        if equal.any():
-            starts = np.flatnonzero(np.concatenate([[True], ~equal]))
-            sizes = np.diff(np.append(starts, n))
-            go = np.repeat(sizes > 1, sizes)
-            if keep_first:  # the position with no smaller one in its run has no previous factor of this length
-                go &= order[by] != np.repeat(np.minimum.reduceat(order[by], starts), sizes)
+            symbol = np.where(o >= begin, cols[o].astype(np.int64) + 1, 0)
+            order = np.argsort((g * 257 + symbol) * n + rank)
+            # neighbours with the same byte share one more than all that lay between them did
+            low = [lcp]
+            for k in range(levels - 1):
+                wide = low[k].copy()
+                wide[: -(1 << k)] = np.minimum(wide[: -(1 << k)], low[k][1 << k :])
+                low.append(wide)
+            one, two = rank[order[:-1]] + 1, rank[order[1:]]
+            ok = (symbol[order[1:]] > 0) & (symbol[order[1:]] == symbol[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+            one, two = one[ok], two[ok]
+            k = np.frexp(two - one + 1)[1] - 1
+            table = np.stack(low)
+            lcp = np.zeros(n, np.int64)
+            lcp[1:][ok] = 1 + np.minimum(table[k, one], table[k, two - (1 << k) + 1])
+            by = order
+        factor, source = longest_previous(place[by], lcp, levels)
+        go = factor >= length
+        if go.any():
+            if not keep_first:
+                go[source[factor >= length]] = True
             marks[o, by] = go
     return marks.T
 
@@ -199,23 +275,26 @@ def _runs(length: int, keep_first: bool):
     back = length - GRAM
 
     def close(rows: list[tuple]):
-        h, part, idx, d, pos, left, ctx = (list(c) for c in zip(*rows, strict=True))
-        number = {x: k for k, x in enumerate(dict.fromkeys(h))}
-        order = np.empty(len(rows), np.int64)
-        order[np.lexsort((pos, idx, part, d))] = np.arange(len(rows))
-        marks = suffix_runs(np.array([number[x] for x in h]), ctx, np.array(left), order, length, keep_first)
-        edge = np.zeros((len(rows), 1), bool)
-        member, k = np.nonzero(np.diff(np.hstack([edge, marks, edge]).astype(np.int8), axis=1))
-        a, b = k[::2], k[1::2] - 1
-        i = member[::2]
-        base = np.array(pos)[i] - back
-        return pd.DataFrame({"part": np.array(part, np.int32)[i], "idx": np.array(idx)[i], "start": base + a, "end": base + b + length})
+        out = []
+        for (lo, hi), some in itertools.groupby(sorted(rows, key=lambda r: (r[5], r[6])), key=lambda r: (r[5], r[6])):
+            h, part, idx, d, pos, _, _, left, ctx = (list(c) for c in zip(*some, strict=True))
+            number = {x: k for k, x in enumerate(dict.fromkeys(h))}
+            place = np.empty(len(h), np.int64)
+            place[np.lexsort((pos, idx, part, d))] = np.arange(len(h))
+            marks = repeated_starts(np.array([number[x] for x in h]), ctx, np.array(left), hi - lo, place, length, keep_first)
+            edge = np.zeros((len(h), 1), bool)
+            member, k = np.nonzero(np.diff(np.hstack([edge, marks, edge]).astype(np.int8), axis=1))
+            a, b = k[::2], k[1::2] - 1
+            i = member[::2]
+            base = np.array(pos)[i] - back + lo
+            out.append(pd.DataFrame({"part": np.array(part, np.int32)[i], "idx": np.array(idx)[i], "start": base + a, "end": base + b + length}))
+        return pd.concat(out)
 
     def runs(frames):
-        """Rows come sorted by anchor; groups are taken together until enough members have gathered."""
+        """Rows come sorted by group; groups are taken together until enough members have gathered."""
         rows: list[tuple] = []
         for f in frames:
-            for h, some in itertools.groupby(f[["h", "part", "idx", "d", "pos", "left", "ctx"]].itertuples(index=False, name=None), key=lambda r: r[0]):
+            for h, some in itertools.groupby(f[["h", "part", "idx", "d", "pos", "lo", "hi", "left", "ctx"]].itertuples(index=False, name=None), key=lambda r: r[0]):
                 if len(rows) >= _MEMBERS and rows[-1][0] != h:
                     yield close(rows)
                     rows = []
@@ -247,7 +326,13 @@ def _cut_out(record_batches):
         yield pa.RecordBatch.from_arrays([f.column("part"), f.column("idx"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["part", "idx", "removed", "runs", "kept"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False, block: int = 65536) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _around(table: DataFrame, members: DataFrame, *fields: str) -> DataFrame:
+    """The texts of members with an array of their members."""
+    marked = members.groupBy("part", "idx", "d").agg(F.collect_list(F.struct(*fields)).alias("marked"))
+    return table.select("part", "idx", "text").join(marked, ["part", "idx"])
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, facts, spans): the stored rows, per row its hash and whether it goes as a copy, and byte spans to remove of the others."""
     if length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
@@ -266,28 +351,36 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     each = each.select("part", "idx", "d", F.col("a.pos").alias("pos"), F.col("a.h").alias("h"))
     # counted by partial sums; a hot anchor can be split in the join
     times = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    again = cut(each.join(times, "h").withColumn("large", F.col("times") > block), "again")
-    marked = again.groupBy("part", "idx", "d").agg(F.collect_list(F.struct("pos", "h", "large")).alias("marked"))
-    context = table.select("part", "idx", "text").join(marked, ["part", "idx"]).mapInArrow(
-        _contexts(length), "h long, part int, idx long, d long, pos long, left int, ctx binary, strings array<binary>"
-    )
-    # groups beyond the block size are known to be absent or not before the plan is made
-    dense = not again.where("large").isEmpty()
-    small = context.where("ctx is not null") if dense else context
-    dealt = small.drop("strings").repartition(parts(spark), "h").sortWithinPartitions("h")
-    spans = dealt.mapInPandas(_runs(length, keep_first), "part int, idx long, start long, end long")
-    if dense:
-        s = context.where("strings is not null").select("part", "idx", "d", (F.col("pos") - F.col("left")).alias("base"), F.posexplode("strings").alias("k", "s"))
-        s = s.withColumn("start", F.col("base") + F.col("k")).select("part", "idx", "d", "s", "start").distinct()
-        place = F.struct("d", "part", "idx", "start")
-        s = s.join(s.groupBy("s").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "s")
-        s = s.where(place != F.col("first")) if keep_first else s
-        spans = spans.unionByName(s.select("part", "idx", "start", (F.col("start") + length).alias("end")))
+    again = cut(each.join(times, "h").withColumns({"lo": F.lit(0), "hi": F.lit(length - GRAM)}), "again")
     own = facts.where("is_first and size(own) > 0").select("part", "idx", F.explode("own").alias("o")).select("part", "idx", "o.start", "o.end")
-    return table, facts, spans.unionByName(own)
+    spans, columns = [own], ["part", "idx", "d", "pos", "lo", "hi", "h"]
+    small = [again.where(F.col("times") <= block).select(columns)]
+    hot = again.where(F.col("times") > block)
+    while not hot.isEmpty():  # at most as often as the span of starts can be halved
+        schema = "key long, part int, idx long, d long, pos long, lo int, hi int, first int, last int, digest binary"
+        halves = cut(_around(table, hot, "pos", "lo", "hi").mapInArrow(_halves(length), schema), "halves")
+        least = F.min(F.struct("d", "part", "idx", "pos", "lo", "hi")).alias("least")
+        merged = cut(halves.groupBy("key", "digest").agg(least, F.count("*").alias("alike")), "merged")
+        # all strings of members that agree throughout are repeats; their earliest speaks for them from here on
+        alike = halves.join(merged.where("alike > 1"), ["key", "digest"])
+        if keep_first:
+            alike = alike.where(F.struct("d", "part", "idx", "pos", "lo", "hi") != F.col("least"))
+        base = F.col("pos") - (length - GRAM)
+        spans.append(alike.select("part", "idx", (base + F.col("first")).alias("start"), (base + F.col("last") + length).alias("end")))
+        sizes = merged.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+        left = cut(merged.join(sizes, "key").select("least.*", F.col("key").alias("h"), "times"), "left")
+        small.append(left.where(F.col("times") <= block).select(columns))
+        hot = left.where(F.col("times") > block)
+    members = functools.reduce(DataFrame.unionByName, small)
+    context = _around(table, members, "h", "pos", "lo", "hi").mapInArrow(
+        _contexts(length), "h long, part int, idx long, d long, pos long, lo int, hi int, left int, ctx binary"
+    )
+    dealt = context.repartition(parts(spark), "h").sortWithinPartitions("h")
+    spans.append(dealt.mapInPandas(_runs(length, keep_first), "part int, idx long, start long, end long"))
+    return table, facts, functools.reduce(DataFrame.unionByName, spans)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, block: int = 65536) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, block: int = 4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     table, facts, spans = repeated_spans(docs, length, keep_first, block)
     whole = (F.col("n_bytes") >= length) & (F.col("copies") > 1) & (~F.col("is_first") if keep_first else F.lit(True))

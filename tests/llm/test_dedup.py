@@ -186,7 +186,7 @@ def repeated_texts():
 def test_repeated_substrings(spark):
     texts = repeated_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for keep_first, block in ((False, 65536), (True, 65536), (False, 8), (True, 8)):
+    for keep_first, block in ((False, 4096), (True, 4096), (False, 8), (True, 8), (False, 2), (True, 2)):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, 400, keep_first, block).collect()}
         want = brute_repeats([(t or "").encode() for t in texts], 400, keep_first)
         assert got == dict(enumerate(want)), (keep_first, block)
@@ -197,3 +197,41 @@ def test_repeats_with_awkward_rows(spark):
     rows = documents()
     want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows], 400, False), strict=True))
     assert Counter(tuple(r) for r in substrings.remove_repeats(frame(spark)).collect()) == want
+
+
+def test_longest_previous_factors_equal_a_stackless_brute_force():
+    r = random.Random(1)
+    for _ in range(100):
+        n = r.randint(1, 40)
+        text = bytes(r.choice(b"ab") for _ in range(n))
+        order = sorted(range(n), key=lambda i: text[i:])
+
+        def common(a, b):
+            k = 0
+            while max(a, b) + k < n and text[a + k] == text[b + k]:
+                k += 1
+            return k
+
+        lcp = np.array([0] + [common(order[i - 1], order[i]) for i in range(1, n)], np.int64)
+        factor, source = substrings.longest_previous(np.array(order), lcp, n.bit_length())
+        for i, p in enumerate(order):
+            assert factor[i] == max((common(p, q) for q in range(p)), default=0)
+            assert not factor[i] or (order[source[i]] < p and common(p, order[source[i]]) == factor[i])
+
+
+def test_anchors_of_long_texts_come_in_segments(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 104, 60000).astype(np.uint8).tobytes()
+    whole = substrings.anchors(data, 400)
+    monkeypatch.setattr(substrings, "SEGMENT", 4096)
+    assert all((a == b).all() for a, b in zip(whole, substrings.anchors(data, 400), strict=True))
+
+
+def test_a_passage_that_a_third_of_all_documents_share(spark):
+    r = random.Random(8)
+    para = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    hot = para(900)
+    texts = [para(r.randint(100, 500)) + (hot if i % 3 == 0 else "") + para(300) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for keep_first in (False, True):
+        got = {x.doc_id: tuple(x)[1:] for x in substrings.remove_repeats(df, 400, keep_first, 10).collect()}
+        assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400, keep_first)))
