@@ -4,15 +4,21 @@ The plan depends only on how many pieces have each length (at most ``capacity``
 corpus), so it is made on the driver:
 
 1. linear grouping: pieces of at least ``small`` tokens, longest first, form groups of equal numbers
-   of pieces, and each counts as long as its group's longest;
+   of pieces, and each counts as long as its group's longest (there are at most ``capacity - small + 1``
+   lengths, so rounding binds only where more pieces than a group holds differ in length: with the
+   default of 4096 groups seldom, and fewer groups trade room for a smaller plan);
 2. configurations of these few sizes: the longest size left is filled up by the best sum of the sizes
    still available, and used as often as the counts allow;
 3. actual documents take the places of their group's size, which leaves the true room;
 4. small pieces go, longest first, where the least room is left that holds them (best fit).
 
-The plan is kept as runs "pieces of this length with ranks lo..hi go to sequences first, first + 1, ..."
-and joined with the pieces, ranked within their length by salted counts so that a common length is
-not gathered into one task.
+The plan is kept as runs "pieces of this length with ranks lo..hi go to sequences first, first + 1, ...,
+so many to each" and joined with the pieces by length and block of ranks, so that neither a common
+length nor a long run is gathered into one task; the runs are broadcast only if the planner finds their
+written table small. Ranks within a length come from salted counts.
+
+Ids are those of the ``tokenizers`` file as it is loaded: a text that holds the content of an added
+token gets that token's id there.
 
 Defined results: a null text is empty, and has one piece of the closing id alone; rows that repeat a
 doc_id are packed each; an empty table gives an empty result; extra columns are ignored.
@@ -34,6 +40,8 @@ from .common import batches, cut, parts, tidy
 
 #: Runs that make byte-pair merging slow in tiktoken; texts with one go to tokenizers, which merges by a heap.
 _LONG_RUN = re.compile(r"\S{4096}|\s{4096}")
+#: Ranks of a length that one key of the join with the runs covers.
+STRETCH = 65536
 _workers: dict[tuple[str, str], Encoder] = {}
 
 
@@ -48,7 +56,7 @@ class Encoder:
     """Token ids of a byte-level ``tokenizers`` file as uint32 arrays.
 
     The file's vocabulary, whose ids are its merge ranks, is given to tiktoken, which finds the same
-    ids several times as fast.
+    ids several times as fast. Texts with an added token or a very long run go to the file's tokenizer.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -57,21 +65,19 @@ class Encoder:
         self.path = path
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
-        special = {t["content"] for t in vocabulary["added_tokens"]}
+        self.added = [t["content"] for t in vocabulary["added_tokens"]]
         letters = byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in self.added}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @functools.cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
-        if _LONG_RUN.search(text):
+        if any(t in text for t in self.added) or _LONG_RUN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
@@ -111,23 +117,23 @@ def _pieces(path: str, pattern: str, closing: int, capacity: int):
 
 
 class _Bins:
-    """A run of ``n`` sequences filled alike: slots (length, rank of the first, offset) and the room left."""
+    """A run of ``n`` sequences filled alike: slots (length, rank of the first, offset, pieces in each) and the room left."""
 
     __slots__ = ("n", "room", "slots")
 
-    def __init__(self, n: int, slots: list[tuple[int, int, int]], room: int):
+    def __init__(self, n: int, slots: list[tuple[int, int, int, int]], room: int):
         self.n, self.slots, self.room = n, slots, room
 
     def split(self, n: int) -> _Bins:
         """Takes the first ``n`` sequences off as a run of their own."""
         head = _Bins(n, list(self.slots), self.room)
-        self.slots = [(length, lo + n, at) for length, lo, at in self.slots]
+        self.slots = [(length, lo + n * each, at, each) for length, lo, at, each in self.slots]
         self.n -= n
         return head
 
-    def put(self, length: int, lo: int, capacity: int) -> None:
-        self.slots.append((length, lo, capacity - self.room))
-        self.room -= length
+    def put(self, length: int, lo: int, capacity: int, each: int = 1) -> None:
+        self.slots.append((length, lo, capacity - self.room, each))
+        self.room -= length * each
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
@@ -168,8 +174,11 @@ def best_sum(room: int, sizes: list[int], left: dict[int, int]) -> dict[int, int
     return chosen
 
 
-def plan(counts: dict[int, int], capacity: int = 1024, small: int = 64, groups: int = 4096) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, lo, hi, first sequence, offset) for the given numbers of pieces by length, and the number of sequences."""
+def plan(counts: dict[int, int], capacity: int = 1024, small: int = 64, groups: int = 4096) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Runs (length, lo, hi, first sequence, offset, pieces in each) for the given numbers of pieces by length, and the number of sequences.
+
+    The piece of rank r has place r - lo in its run: sequence first + place // each, offset + place % each * length.
+    """
     large = linear_groups({k: n for k, n in counts.items() if n and small <= k <= capacity}, groups)
     queue: dict[int, list[list[int]]] = {}
     for size, runs in large:
@@ -222,14 +231,13 @@ def plan(counts: dict[int, int], capacity: int = 1024, small: int = 64, groups:
                     by_room.setdefault(room, []).append(b)
                     b = head
                 each = min(each, n // take)
-            for _ in range(each):
-                b.put(length, rank[length], capacity)
-                rank[length] += b.n
+            b.put(length, rank[length], capacity, each)
+            rank[length] += b.n * each
             n -= each * b.n
             by_room.setdefault(b.room, []).append(b)
     out, first = [], 0
     for b in (b for r in sorted(by_room) for b in by_room[r]):
-        out += [(length, lo, lo + b.n, first, at) for length, lo, at in b.slots]
+        out += [(length, lo, lo + b.n * each, first, at, each) for length, lo, at, each in b.slots]
         first += b.n
     return out, first
 
@@ -252,7 +260,12 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, closing: int = 2, capaci
     base = by_salt.select("length", "salt", base.alias("base"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own"))
-    # bounded by the number of lengths and of configurations, whatever the corpus
-    table = F.broadcast(spark.createDataFrame(runs, "len long, lo long, hi long, first long, offset long"))
-    placed = ranked.join(table, (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    table = cut(spark.createDataFrame(runs, "length long, lo long, hi long, first long, at long, each long"), "runs")
+    table = table.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / STRETCH), F.floor((F.col("hi") - 1) / STRETCH))))
+    placed = ranked.join(table, ["length", "stretch"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    place = F.col("rank") - F.col("lo")
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(place / F.col("each"))).alias("sequence_id"),
+        (F.col("at") + place % F.col("each") * F.col("length")).alias("offset"),
+    )

@@ -46,10 +46,10 @@ def test_plan_is_a_packing():
         counts = Counter(r.choice([r.randint(1, 1024), r.randint(1, 70), 1024]) for _ in range(r.choice([1, 50, 4000])))
         runs, n = packing.plan(dict(counts))
         fill, placed = defaultdict(list), Counter()
-        for length, lo, hi, first, at in runs:
+        for length, lo, hi, first, at, each in runs:
             placed[length] += hi - lo
             for j in range(hi - lo):
-                fill[first + j].append((at, length))
+                fill[first + j // each].append((at + j % each * length, length))
         assert placed == counts and len(fill) == n
         for v in fill.values():
             end = 0
@@ -61,14 +61,15 @@ def test_plan_is_a_packing():
     assert packing.plan({}) == ([], 0)
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 4)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = packing.pack(frame(spark), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    docs = [*documents(), (900, "hi <|endoftext|> there", None, None, None, None, None), (901, "<|endoftext|>" * 1500, None, None, None, None, None), (902, "<|endoftext", None, None, None, None, None)]
+    rows = packing.pack(frame(spark, docs), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     want = Counter()
-    for r in documents():
+    for r in docs:
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 2]
         a, c = 0, len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
         k = 0
@@ -92,9 +93,12 @@ def test_encoders_agree():
     r = random.Random(1)
     texts = ["", "  a   b\n\n c   x  ", "<|endoftext|> hi", "日本語 😀😀 \"don't\" they'll 123456 ½", "a" * 5000, " " * 5000 + "x"]
     texts += ["".join(r.choice(" \n\tab1é漢😀's.,") for _ in range(200)) for _ in range(100)]
-    e = packing.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    from tokenizers import Tokenizer
+
+    e, own = packing.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for t in texts:
-        assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert e.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
+    assert 50256 in e.encode("a<|endoftext|>b").tolist()
 
 
 def test_marginals_equal_brute_force():
