@@ -34,12 +34,26 @@ def test_mixing_meets_its_contract(spark):
     for s, some in by.items():
         assert abs(some[0].target - target[s]) < 1e-6
         assert abs(sum(r.taken for r in some) - target[s]) <= max(r.size for r in some)
+    assert any(len({(r.copies) for r in some if r.size}) > 1 for some in by.values())
     repeated = mixing.mixed(frame(spark))
     assert repeated.columns == frame(spark, []).columns
     assert repeated.count() == sum(r.copies for r in rows)
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_longer_documents_are_taken_at_higher_rates(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.choice([5, 300])), None, "ab"[i % 2], None, None, None) for i in range(4000)]
+    got = mixing.mix(frame(spark, rows), weights=(1, 1), share=0.6).collect()
+    rate = {n: np.mean([x.copies for x in got if x.size == n]) for n in (5, 300)}
+    assert abs(rate[300] / rate[5] - 9 / 3) < 0.5  # binary digits of 300 and 5
+    for s in "ab":
+        some = [x for x in got if x.source == s]
+        assert abs(sum(x.taken for x in some) - some[0].target) <= 300
+    same = [(7, "a b c", None, "s", None, None, None)] * 50
+    assert {x.copies for x in mixing.mix(frame(spark, same), share=0.5).collect()} == {0, 1}
+
+
 def test_plan_is_a_packing():
     for seed in range(4):
         r = random.Random(seed)
