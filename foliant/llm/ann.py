@@ -1,28 +1,35 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards by hash; each shard gets a graph of its own. Vectors are lifted
-to a common norm (one more coordinate), which turns largest inner product into least distance. Nodes
-are inserted in batches: a greedy beam search from the shard's middle proposes neighbours; robust
-pruning keeps, nearest first, those that no kept one is closer to by the factor ``alpha``; links back
-are added and pruned alike. A query searches every shard's graph with a beam; the shards' finds,
-scored in double precision on the original vectors, are merged.
+Distinct vectors of one length are dealt to shards by norm, in bands of ratio ``band``, and within a
+band by hash; a shard has about ``shard_rows`` vectors and ``shard_bytes`` bytes at most, and a graph of
+its own over the vectors' directions. Norms in a shard being close, a query's largest inner products are
+among its nearest directions, whatever the norms of the table. Nodes are inserted in batches: a greedy
+beam search from the shard's middle proposes neighbours; robust pruning keeps, nearest first, those that
+no kept one is closer to by the factor ``alpha``; links back are added and pruned alike. A query searches
+every shard's graph with a beam; the shards' finds, scored in double precision on the original vectors,
+are merged.
 
 Equal vectors are one node with its k + 1 least ids, which is all that a result can hold of them, so
-a very common vector is neither a hub nor a large group. Queries go in blocks against shards.
+a very common vector is neither a hub nor a large group. A shard's graph is read once and the blocks of
+queries stream past it.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length
-from the most common length take no part; ids must not be null; rows that repeat an id and vector
-count once; ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a
+query is answered among the vectors of its own length, as others have no inner product with it; ids
+must not be null; rows that repeat an id and vector count once; ties go to the smaller id; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batches, cut, parts
 
 DEGREE = 24
 SLACK = 64
@@ -30,10 +37,10 @@ BATCH = 1024
 EXPAND = 4
 
 
-def lifted(x: np.ndarray, top: float) -> np.ndarray:
-    """Vectors with a further coordinate that brings all norms to ``top``, as float32 of norm one."""
-    rest = np.sqrt(np.maximum(0.0, top * top - (x * x).sum(axis=1)))
-    return np.ascontiguousarray(np.hstack([x, rest[:, None]]) / top, np.float32)
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors brought to norm one, as float32; scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ascontiguousarray(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.float32)
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ def _link_back(x: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha: float
 
 
 def build_graph(x: np.ndarray, beam: int = 64, alpha: float = 1.2, seed: int = 1) -> tuple[np.ndarray, int]:
-    """(neighbours n x SLACK with -1 for none, entry) over lifted vectors, from random links."""
+    """(neighbours n x SLACK with -1 for none, entry) over directions, from random links."""
     rng, n = np.random.default_rng(seed), len(x)
     graph = np.full((n, SLACK), -1, np.int64)
     if n > 1:
@@ -145,52 +152,78 @@ def build_graph(x: np.ndarray, beam: int = 64, alpha: float = 1.2, seed: int = 1
     return graph, entry
 
 
+SHARD = "shard string, kind int, block int, n int, entry int, vectors binary, links binary, ids binary, id_counts binary"
+
+
 def _index(beam: int, alpha: float):
     def index(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("least")
         x = np.array(f["embedding"].tolist(), np.float64)
-        top = float(np.sqrt((x * x).sum(axis=1).max()))
-        graph, entry = build_graph(lifted(x, top), beam, alpha)
-        lengths = np.array([len(i) for i in f["ids"]], np.int64)
+        graph, entry = build_graph(directions(x), beam, alpha)
+        lengths = np.array([len(i) for i in f["ids"]], "<i4")
         return pd.DataFrame({
-            "shard": f["shard"].iloc[:1].to_numpy(), "n": [len(x)], "entry": [entry], "top": [top], "vectors": [x.tobytes()], "links": [graph.astype("<i4").tobytes()],
+            "shard": f["shard"].iloc[:1].to_numpy(), "kind": [0], "block": [0], "n": [len(x)], "entry": [entry], "vectors": [x.tobytes()], "links": [graph.astype("<i4").tobytes()],
             "ids": [np.concatenate([np.asarray(i, np.int64) for i in f["ids"]]).tobytes()], "id_counts": [lengths.tobytes()],
         })
 
     return index
 
 
+def _block(f: pd.DataFrame) -> pd.DataFrame:
+    """A block of queries as one row."""
+    return pd.DataFrame({"dim": f["dim"].iloc[:1].to_numpy(), "block": f["block"].iloc[:1].to_numpy(), "n": [len(f)], "vectors": [np.array(f["embedding"].tolist(), np.float64).tobytes()], "ids": [f["query_id"].to_numpy(np.int64).tobytes()]})
+
+
+class _Shard:
+    def __init__(self, n: int, entry: int, vectors: bytes, links: bytes, ids: bytes, counts: bytes):
+        self.n, self.entry = n, entry
+        self.x = np.frombuffer(vectors, np.float64).reshape(n, -1)
+        self.low = directions(self.x)
+        self.graph = np.frombuffer(links, "<i4").reshape(n, SLACK).astype(np.int64)
+        self.ids, self.counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, "<i4").astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
+
+    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids found, scores): up to k of each query."""
+        if self.n <= beam:
+            found = np.tile(np.arange(self.n), (len(own), 1))
+        else:
+            found, _ = beam_search(self.low, self.graph, self.entry, directions(queries), beam)
+        q, c = np.nonzero(found >= 0)
+        node = found[q, c]
+        score = (self.x[node] * queries[q]).sum(axis=1)
+        times = self.counts[node]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        vec, q, score = self.ids[np.repeat(self.first[node], times) + step], np.repeat(q, times), np.repeat(score, times)
+        other = vec != own[q]
+        vec, q, score = vec[other], q[other], score[other]
+        order = np.lexsort((vec, -score, q))
+        vec, q, score = vec[order], q[order], score[order]
+        start = np.searchsorted(q, q)  # where each row's query begins
+        top = np.arange(len(q)) - start < k
+        return own[q[top]], vec[top], score[top]
+
+
 def _search(k: int, beam: int):
-    def search(q: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(q) and len(index):
-            s = index.iloc[0]
-            x = np.frombuffer(s["vectors"], np.float64).reshape(s["n"], -1)
-            graph = np.frombuffer(s["links"], "<i4").reshape(s["n"], SLACK).astype(np.int64)
-            ids = np.split(np.frombuffer(s["ids"], np.int64), np.cumsum(np.frombuffer(s["id_counts"], np.int64))[:-1])
-            low = lifted(x, s["top"])
-            queries = np.array(q["embedding"].tolist(), np.float64)
-            unit = np.hstack([queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True)), np.zeros((len(queries), 1))]).astype(np.float32)
-            for i in range(0, len(q), BATCH):
-                if s["n"] <= beam:
-                    found = np.tile(np.arange(s["n"]), (len(unit[i : i + BATCH]), 1))
-                else:
-                    found, _ = beam_search(low, graph, int(s["entry"]), unit[i : i + BATCH], beam)
-                for j, row in enumerate(found):
-                    row = row[row >= 0]
-                    scores, own, got = (x[row] * queries[i + j]).sum(axis=1), int(q["query_id"].iloc[i + j]), []
-                    for node, score in zip(row.tolist(), scores.tolist(), strict=True):
-                        got += [(-score, v) for v in ids[node].tolist() if v != own]
-                    for score, v in sorted(got)[:k]:
-                        out["query_id"].append(own)
-                        out["vec_id"].append(v)
-                        out["score"].append(-score)
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    def search(record_batches):
+        shard = None
+        for f in record_batches:
+            for i in range(f.num_rows):
+                at = lambda c: f.column(c)[i].as_py()  # noqa: B023, E731
+                if at("kind") == 0:
+                    shard = _Shard(at("n"), at("entry"), at("vectors"), at("links"), at("ids"), at("id_counts"))
+                    continue
+                own, queries = np.frombuffer(at("ids"), np.int64), np.frombuffer(at("vectors"), np.float64).reshape(at("n"), -1)
+                for j in range(0, len(own), 256):
+                    got = shard.nearest(own[j : j + 256], queries[j : j + 256], k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128, build_beam: int = 64, alpha: float = 1.2, shard_rows: int = 65536, least_shards: int = 6, block: int = 2048) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256, build_beam: int = 64, alpha: float = 1.2, band: float = 1.2, shard_rows: int = 16384, shard_bytes: int = 1 << 28, block: int = 1024
+) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) found for each of ``queries`` (vec_id, embedding): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
 
@@ -199,27 +232,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128
         fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
         return df.select(F.col("vec_id").cast("long"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
-    v = cut(valid(vectors), "vectors")
-    sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["d"], sizes[0]["count"]
-    v = v.where(F.size("embedding") == dim)
     # a rank within equal vectors is cut off before the shuffle, so a common vector's rows don't travel
     w = Window.partitionBy("embedding").orderBy("vec_id")
-    nodes = v.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k + 1)
+    nodes = valid(vectors).withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k + 1)
     nodes = nodes.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    shards = max(1, least_shards, -(-n // shard_rows))
-    nodes = nodes.select("embedding", "ids", F.element_at("ids", 1).alias("least"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"))
-    schema = "shard int, n int, entry int, top double, vectors binary, links binary, ids binary, id_counts binary"
-    index = cut(nodes.groupBy("shard").applyInPandas(_index(build_beam, alpha), schema), "graphs")
+    top = F.aggregate("embedding", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / F.col("top")) * (v / F.col("top")))
+    nodes = nodes.withColumn("top", top).withColumn("norm", F.log("top") + F.log(square) / 2)
+    nodes = cut(nodes.select("embedding", "ids", F.size("embedding").alias("dim"), F.floor(F.col("norm") / math.log(band)).cast("int").alias("band")), "nodes")
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(shard_bytes) / (8 * F.col("dim") + 4 * SLACK))))
+    shards = nodes.groupBy("dim", "band").agg(F.count("*").alias("n")).select("dim", "band", F.ceil(F.col("n") / most).cast("long").alias("of"))
+    nodes = nodes.join(shards, ["dim", "band"]).select("embedding", "ids", F.element_at("ids", 1).alias("least"), F.concat_ws(":", "dim", "band", F.pmod(F.xxhash64("embedding"), F.col("of"))).alias("shard"))
+    index = cut(nodes.groupBy("shard").applyInPandas(_index(build_beam, alpha), SHARD), "graphs")
 
-    q = valid(queries).where(F.size("embedding") == dim).distinct()
-    q = cut(q.select(F.col("vec_id").alias("query_id"), "embedding"), "queries")
+    q = cut(valid(queries).distinct().select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim")), "queries")
     blocks = max(1, -(-q.count() // block))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    for_blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = q.groupBy("shard", "block").cogroup(for_blocks.groupBy("shard", "block")).applyInPandas(_search(k, beam), "query_id long, vec_id long, score double")
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_block, "dim int, block int, n int, vectors binary, ids binary")
+    # a small table of its own, so that the planner knows its size; otherwise a skewed join splits the blocks of a length
+    places = cut(index.select("shard", F.split("shard", ":")[0].cast("int").alias("dim")), "places")
+    asked = cut(q, "blocks").join(places, "dim").select("shard", F.lit(1).alias("kind"), "block", "n", "vectors", "ids")
+    batches(spark, 8)  # rows are blocks and shards
+    stream = index.unionByName(asked, allowMissingColumns=True).repartition(parts(spark), "shard").sortWithinPartitions("shard", "kind", "block")
+    found = cut(stream.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double"), "found")
+    batches(spark)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

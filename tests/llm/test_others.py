@@ -178,7 +178,7 @@ def test_nearest_neighbours(spark):
     rows += [(3000, None, 1), (3020, [0.0] * 16, 1), (3040, [float("nan")] * 16, 1), (3060, [None] * 16, 1), (3080, [1.0] * 5, 1), rows[20], rows[20]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = defaultdict(list)
-    for q in ann.nearest(df, df.where("vec_id % 20 = 0"), least_shards=3).collect():
+    for q in ann.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=600, beam=64).collect():
         got[q.query_id].append((q.rank, q.vec_id, q.score))
     f = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if i < 3000}
     ids = sorted(f)
@@ -197,3 +197,33 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id < 5")
     assert ann.nearest(few, few).count() == 20
+
+
+def test_recall_in_full_shards_with_varied_norms_and_lengths(spark):
+    r = np.random.default_rng(5)
+    rows, truth = [], {}
+    for dim, first in ((48, 0), (96, 100_000)):
+        x = r.normal(size=(11_000, dim)) * r.uniform(0.5, 2, (11_000, 1)) ** 2
+        rows += [(first + i, v) for i, v in enumerate(x.tolist())]
+        for q in range(0, 11_000, 100):
+            s = x @ x[q]
+            s[q] = -np.inf
+            truth[first + q] = {first + int(i) for i in np.argsort(-s)[:20]}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(set)
+    for q in ann.nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got[q.query_id].add(q.vec_id)
+    assert len(got) == len(truth)
+    assert sum(len(got[q] & t) for q, t in truth.items()) / (20 * len(truth)) >= 0.9
+
+
+def test_graph_recall_in_one_shard_beyond_the_beam():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(12_000, 64)) * r.uniform(1, 1.2, (12_000, 1))
+    low = ann.directions(x)
+    graph, entry = ann.build_graph(low)
+    q = x[:200]
+    found, _ = ann.beam_search(low, graph, entry, low[:200], 256)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    best = [set(f[np.argsort(-(x[f] @ v))[:20]].tolist()) for f, v in zip(found, q, strict=True)]
+    assert np.mean([len(b & set(w.tolist())) / 20 for b, w in zip(best, want, strict=True)]) >= 0.9
