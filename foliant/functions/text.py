@@ -13,13 +13,9 @@ from .words import FILLER, INDEX_STOP, QUERY_STOP, SEARCH_STOP
 NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]+"
 
 
-def _strings(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def _terms(text: Column, stop: Sequence[str]) -> Column:
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALPHANUMERIC)
-    return F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(_strings(stop), w))
+    return F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*stop))  # a hash set
 
 
 def index_terms(text: Column) -> Column:
@@ -43,6 +39,33 @@ def query_search_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w.encode()) >= 2 and w not in set(SEARCH_STOP)))
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array up to each element, by shifts of doubling width: n log n steps, none of which depends on the array's size."""
+    widths = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda w: w < F.size(numbers))
+
+    def step(acc, w):
+        return F.zip_with(acc, F.slice(F.concat(F.array_repeat(F.lit(0), w), acc), 1, F.size(acc)), lambda x, y: x + y)
+
+    return F.aggregate(widths, numbers, step)
+
+
+def match_spans(text: Column, pattern: str, before: int = 0) -> Column:
+    """Array of (start, end, s, before) of the leftmost matches that don't overlap, in order.
+
+    Places count characters from 0; ``before`` holds up to so many characters between the match and the one before it.
+    """
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())
+
+    def placed(v):  # v is found once
+        ends = running_sums(F.transform(v, lambda x: F.length(x["p"]) + F.length(x["m"])))
+        context = (lambda x: F.substring(x["p"], -before, before)) if before else (lambda x: F.lit(""))
+        return F.zip_with(ends, v, lambda e, x: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("s"), context(x).alias("before")))
+
+    none = F.array().cast("array<struct<start:int,end:int,s:string,before:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.element_at(F.transform(F.array(pairs), placed), 1)).otherwise(none)
+
+
 def words(text: Column) -> Column:
     """White-space separated words; none for blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
@@ -90,7 +113,7 @@ def data_richness(text: Column) -> Column:
 
 def specificity(text: Column) -> Column:
     w = words(text)
-    dull = F.size(F.filter(w, lambda x: F.array_contains(_strings(FILLER), F.lower(x))))
+    dull = F.size(F.filter(w, lambda x: F.lower(x).isin(*FILLER)))
     return F.when(F.size(w) == 0, 0.0).otherwise(1.0 - F.least(dull / F.size(w), F.lit(0.8)))
 
 

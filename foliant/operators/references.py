@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# How references are written, in order of precedence at one place.
+from ..functions.text import match_spans
+
+# How references are written, in order of precedence at one place. Digits are ASCII digits.
 PATTERNS = [
     ("section", r"(?i)(?:see\s+)?(?:section|sec\.?)\s+([0-9.]+)"),
     ("section", r"(?i)(?:see\s+)?(?:chapter|ch\.?)\s+([0-9]+)"),
@@ -21,14 +25,10 @@ HINT = r"(?i)section|sec\.?\s|chapter|ch\.?\s|appendix|app\.?\s|table|tbl|figure
 def extract(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, position, ref_type, ref_text, target_id), one per place; positions count characters from 0."""
     def matches(order: int, kind: str, pattern: str):
-        pieces, texts, ids = F.split("content", pattern, -1), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
-        none = F.array().cast("array<struct<position:int,o:int,ref_type:string,ref_text:string,target_id:string>>")
-
-        def row(i):
-            at = F.length(F.array_join(F.concat(F.slice(pieces, 1, i), F.slice(texts, 1, i - 1)), ""))
-            return F.struct(at.alias("position"), F.lit(order).alias("o"), F.lit(kind).alias("ref_type"), texts[i - 1].alias("ref_text"), F.rtrim(ids[i - 1], F.lit(".")).alias("target_id"))
+        def row(m):
+            return F.struct(m["start"].alias("position"), F.lit(order).alias("o"), F.lit(kind).alias("ref_type"), m["s"].alias("ref_text"), F.rtrim(F.regexp_extract(m["s"], pattern, 1), F.lit(".")).alias("target_id"))
 
-        return F.when(F.size(texts) > 0, F.transform(F.sequence(F.lit(1), F.size(texts)), row)).otherwise(none)
+        return F.transform(match_spans(F.col("content"), pattern), row)
 
     found = [matches(order, kind, pattern) for order, (kind, pattern) in enumerate(PATTERNS)]
     likely = nodes.where(F.rlike("content", F.lit(HINT)))  # cheap, before the patterns
@@ -44,24 +44,31 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     figures a title's part; pages the deepest node on them. The first in pre-order wins.
     """
     n = nodes.select("doc_id", F.col("node_id").alias("t"), "structure", "title", "depth", *[c for c in ("start_page", "end_page") if c in nodes.columns])
-    hit = F.lower("title")
-    named = F.concat_ws(" ", F.col("ref_type"), F.lower("target_id"))
-    by = {
-        "section": (F.col("structure") == F.col("target_id")) | F.col("structure").startswith(F.concat("target_id", F.lit("."))),
-        "appendix": hit.startswith(named),
-        "table": hit.contains(named),
-        "figure": hit.contains(named),
-    }
+    keys = ["doc_id", "node_id", "position"]
+    # sections: a node answers for its own number and for every number above it, so they meet by equality
+    digits = F.split("structure", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(digits)), lambda k: F.array_join(F.slice(digits, 1, k), "."))
+    sections = n.where("structure <> ''").select("doc_id", "t", F.size(digits).alias("depth"), F.explode(above).alias("target_id"))
+    sections = sections.groupBy("doc_id", "target_id").agg(F.min(F.struct((F.size(F.split("target_id", r"\.")) != F.col("depth")).cast("int").alias("o"), "t")).alias("b"))
+    hits = [refs.where("ref_type = 'section'").select(*keys, "target_id").join(sections, ["doc_id", "target_id"]).select(*keys, "b")]
+    # appendices, tables and figures: titles that name the kind give the few words that can be meant
+    title = F.lower("title")
+    for kind, pattern in (("appendix", "^appendix (.)"), ("table", r"table ([0-9.]+)"), ("figure", r"figure ([0-9.]+)")):
+        said = n.where(title.contains(kind)).select("doc_id", "t", F.explode(F.regexp_extract_all(title, F.lit(pattern), F.lit(1))).alias("said"))
+        # a reference names the beginning of what the title says
+        starts = said.select("doc_id", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("said")), lambda k: F.substring(F.col("said"), F.lit(1), k))).alias("target_id"))
+        starts = starts.groupBy("doc_id", "target_id").agg(F.min("t").alias("t"))
+        named = refs.where(F.col("ref_type") == kind).select(*keys, F.lower("target_id").alias("target_id"))
+        hits.append(named.join(starts, ["doc_id", "target_id"]).select(*keys, F.struct(F.lit(0).alias("o"), "t").alias("b")))
     if "start_page" in nodes.columns:
-        by["page"] = F.col("target_id").cast("int").between(F.col("start_page"), F.col("end_page"))
-    cond = F.lit(False)
-    for kind, test in by.items():
-        cond = cond | ((F.col("ref_type") == kind) & test)
-    cand = refs.join(n, "doc_id").where(cond)
-    exact = F.when(F.col("ref_type") == "section", (F.col("structure") != F.col("target_id")).cast("int")).when(F.col("ref_type") == "page", -F.col("depth")).otherwise(0)
-    best = cand.groupBy("doc_id", "node_id", "position").agg(F.min(F.struct(exact.alias("o"), "t")).alias("b"))
-    out = refs.join(best, ["doc_id", "node_id", "position"], "left")
-    return out.select(*refs.columns, F.col("b.t").alias("target_node"), F.when(F.col("b").isNull(), 0.0).otherwise(0.8).alias("confidence"))
+        # nodes per page they lie on: the deepest answers
+        pages = n.where("start_page is not null and end_page >= start_page").select("doc_id", "t", "depth", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+        pages = pages.groupBy("doc_id", "page").agg(F.min(F.struct((-F.col("depth")).alias("o"), "t")).alias("b"))
+        asked = refs.where("ref_type = 'page'").select(*keys, F.col("target_id").try_cast("int").alias("page"))
+        hits.append(asked.join(pages, ["doc_id", "page"]).select(*keys, F.col("b")))
+    best = functools.reduce(DataFrame.unionByName, [h.select(*keys, F.col("b.t").alias("b")) for h in hits])
+    out = refs.join(best, keys, "left")
+    return out.select(*refs.columns, F.col("b").alias("target_node"), F.when(F.col("b").isNull(), 0.0).otherwise(0.8).alias("confidence"))
 
 
 def chains(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
