@@ -2,14 +2,17 @@
 
 Fixed patterns give the base spans. High-recall generators propose further, overlapping spans: loosely
 written mail addresses and any run of six or more digits. Format and context features describe them;
-candidates that meet a base span are the positive examples. The features take few values, so counts
-per feature combination over all rows hold all that training needs: boosted two-level trees and a
+candidates that meet a base span are the positive examples; how an at sign is spelled, like the plus
+sign of a phone number, is no feature, so that other spellings are judged by form and context. The features take few values, so counts
+per feature combination over all rows hold all that training needs: boosted trees of small depth and a
 calibration of their scores by held-out documents are fitted to that small table on the driver, and
 applied as one SQL expression. A candidate that meets no base span and whose calibrated probability
 reaches ``threshold`` is added as kind ``mail`` or ``number``.
 
 Spans are found by cutting the text at the matches: starts are running sums of the lengths of pieces
-and matches. Patterns use possessive groups, so that long runs need no deep recursion.
+and matches, and which candidates meet base spans is told by counts of starts and ends in sorted order,
+so the work on a text grows as n log n with its matches. Context is the up to 24 characters between a
+candidate and the one before it. Patterns use possessive groups, so that long runs need no deep recursion.
 
 Defined results: a null text is empty and has no spans; rows that repeat a doc_id each get a row; an
 empty table gives an empty result; extra columns are ignored. Spans count code points.
@@ -22,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import match_spans, running_sums
 from .common import cut
 
 # The patterns of the kinds, in the kinds' order. They match what the plain patterns
@@ -36,25 +40,10 @@ MAIL_LIKE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?(?:@|\[at\]|
 NUMBER_LIKE = r"(?<![0-9])[0-9](?:[\x20().\-/]{0,2}[0-9]){5,}+"
 CONTEXT = r"mail|tel|phone|call|mobile|fax|card|visa|iban|ssn|addr|contact"
 DOMAINS = r"\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+SPANS = "array<struct<start:int,end:int,s:string,before:string>>"
 FEATURES = ("gen", "digits", "separators", "groups", "first", "last", "luhn", "quad", "context", "form")
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, s) of the leftmost matches that don't overlap, in order."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    walk = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), walk).otherwise(empty)
-
-
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -73,10 +62,10 @@ def small_parts(s: Column) -> Column:
 
 def base_kinds(text: Column) -> dict[str, Column]:
     return {
-        "email": F.when(text.contains("@"), spans(text, EMAIL)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>")),
-        "ip": F.filter(spans(text, IP), lambda m: small_parts(m["s"])),
-        "card": F.filter(spans(text, CARD), lambda m: luhn(m["s"])),
-        "phone": F.filter(spans(text, PHONE), lambda m: F.length(digits(m["s"])).between(8, 15)),
+        "email": F.when(text.contains("@"), match_spans(text, EMAIL)).otherwise(F.array().cast(SPANS)),
+        "ip": F.filter(match_spans(text, IP), lambda m: small_parts(m["s"])),
+        "card": F.filter(match_spans(text, CARD), lambda m: luhn(m["s"])),
+        "phone": F.filter(match_spans(text, PHONE), lambda m: F.length(digits(m["s"])).between(8, 15)),
     }
 
 
@@ -85,7 +74,7 @@ def _level(x: Column, *bounds: int) -> Column:
     return sum((F.when(x > b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
-def described(text: Column, found: Column, gen: int) -> Column:
+def described(found: Column, gen: int) -> Column:
     """Adds the features to an array of candidate spans."""
 
     def one(m):
@@ -93,18 +82,32 @@ def described(text: Column, found: Column, gen: int) -> Column:
         groups = F.filter(F.split(s, "[^0-9]+"), lambda g: F.length(g) > 0)
         marks = [F.when(s.contains(c), F.lit(w)).otherwise(0) for c, w in ((" ", 1), (".", 2), ("-", 4), ("(", 8), ("/", 16))]
         edge = lambda i: F.coalesce(F.length(F.try_element_at(groups, F.lit(i))), F.lit(0))
-        before = F.lower(F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24))))
-        form = F.when(s.contains("@"), 1).otherwise(0) + F.when(F.rlike(F.lower(s), F.lit(DOMAINS)), 2).otherwise(0) if gen == 0 else F.lit(0)
+        form = F.rlike(F.lower(s), F.lit(DOMAINS)) if gen == 0 else F.lit(0)
         number = [
             _level(n, 7, 9, 11, 12, 15, 19), sum(marks, F.lit(0)), _level(F.size(groups), 1, 2, 3, 4, 5), _level(edge(1), 1, 2, 3, 4), _level(edge(-1), 1, 2, 3, 4),
             F.when(n.between(13, 19), luhn(s).cast("int")).otherwise(0), F.when((F.size(groups) == 4) & F.rlike(s, F.lit(r"^[0-9.]+$")), small_parts(s).cast("int")).otherwise(0),
         ]
-        values = [F.lit(gen), *([F.lit(0)] * 7 if gen == 0 else number), F.rlike(before, F.lit(CONTEXT)).cast("int"), form]
+        values = [F.lit(gen), *([F.lit(0)] * 7 if gen == 0 else number), F.rlike(F.lower(m["before"]), F.lit(CONTEXT)).cast("int"), form]
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), *[v.cast("int").alias(k) for k, v in zip(FEATURES, values, strict=True)])
 
     return F.transform(found, one)
 
 
+def meets(found: Column, base: Column) -> Column:
+    """For each of an array of spans, whether it overlaps any of another: more of those begin before its end than end by its start."""
+
+    def counted(point: Column, of: Column) -> Column:
+        """How many base points come before each span's point, in the spans' order."""
+        events = F.array_sort(F.concat(point, of))
+        both = F.transform(F.array(events), lambda v: F.zip_with(v, running_sums(F.transform(v, lambda x: (x["i"] < 0).cast("int"))), lambda x, n: F.struct(x["i"].alias("i"), n.alias("n"))))
+        return F.array_sort(F.filter(F.element_at(both, 1), lambda x: x["i"] >= 0))
+
+    event = lambda at, order, i: F.struct(at.alias("at"), F.lit(order).alias("o"), i.alias("i"))
+    starts = counted(F.transform(found, lambda c, i: event(c["end"], 0, i)), F.transform(base, lambda b: event(b["start"], 1, F.lit(-1))))
+    ends = counted(F.transform(found, lambda c, i: event(c["start"], 1, i)), F.transform(base, lambda b: event(b["end"], 0, F.lit(-1))))
+    return F.when(F.size(base) == 0, F.array_repeat(F.lit(0), F.size(found))).otherwise(F.zip_with(starts, ends, lambda x, y: (x["n"] > y["n"]).cast("int")))
+
+
 # Boosting over counted feature combinations: rows are (features, number, positives).
 
 
@@ -191,14 +194,13 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     base = base_kinds(F.col("text"))
-    mail = F.when(F.rlike("text", F.lit(r"@|[\[(]at[\])]")), spans(F.col("text"), MAIL_LIKE)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+    mail = F.when(F.rlike("text", F.lit(r"@|[\[(]at[\])]")), match_spans(F.col("text"), MAIL_LIKE, 24)).otherwise(F.array().cast(SPANS))
     t = d.select(
         "doc_id", *[v.alias(k) for k, v in base.items()],
-        F.concat(described(F.col("text"), mail, 0), described(F.col("text"), spans(F.col("text"), NUMBER_LIKE), 1)).alias("candidates"),
+        F.concat(described(mail, 0), described(match_spans(F.col("text"), NUMBER_LIKE, 24), 1)).alias("candidates"),
     )
     every = F.concat(*[F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
-    meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    t = t.withColumn("base", every).withColumn("candidates", F.transform("candidates", lambda c: c.withField("y", meets(c).cast("int"))))
+    t = t.withColumn("base", every).withColumn("candidates", F.zip_with("candidates", meets(F.col("candidates"), F.col("base")), lambda c, y: c.withField("y", y)))
     t = cut(t, "spans")
 
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 0).alias("calibrates")

@@ -83,3 +83,33 @@ def test_secrets(spark):
     assert by[6].n_dense == 1 and "dense:70" in by[6].spans.replace("dense:69", "dense:70")
     assert by[10].n_dense == 0
     assert secrets.scan_secrets(frame(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_personal_data_in_long_texts_takes_time_in_proportion(spark):
+    import time
+
+    number = lambda i: f"+1 (518) 555-{i % 10000:04d} and 10.{i % 256}.0.1, "
+    seconds = []
+    for n in (2_000, 2_000, 16_000):
+        text = "".join(number(i) for i in range(n))
+        began = time.time()
+        got = pii.find_personal_data(frame(spark, [(1, text, None, None, None, None, None)])).collect()[0]
+        seconds.append(time.time() - began)
+        want = brute_pii(text)
+        assert [got.n_phone, got.n_ip] == [n, n]
+        assert got.base_sha256 == hashlib.sha256(",".join(x for w in want for x in w).encode()).hexdigest()
+    assert seconds[2] < 16 * seconds[1] + 2
+
+
+def test_spans_that_meet(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    spans = lambda n: [(a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(n))]
+    rows = [(i, spans(r.randint(0, 8)), spans(r.randint(0, 8))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    for x in df.select("i", pii.meets(F.col("a"), F.col("b")).alias("y")).collect():
+        _, a, b = rows[x.i]
+        assert x.y == [int(any(p < f and e < q for p, q in b)) for e, f in a]
