@@ -4,12 +4,13 @@ A line counts once trimmed of ASCII white space, if it then has at least ``min_c
 shorter ones always stay. Lines are ordered by (doc_id, number); a line goes if an earlier one equals
 it or lies within one insertion, deletion or substitution, whether or not that one stays itself.
 
-Equal lines meet by a 128-bit hash. Of the distinct lines only those that share a half with another
+Equal lines meet by a 128-bit cryptographic digest, and each distinct line gets a number. Of the distinct lines only those that share a half with another
 (an edit leaves the first or the second half whole, whatever the lengths) can have a near one; these
 suspects emit all variants within the bound as hashed keys: the line itself, each deletion, and each
 deletion with its place. Two lines meet under a deletion with its place exactly if one substitution
-parts them, and a line meets another's deletion exactly if one insertion does. Per key only the
-earliest line of each kind is kept, never pairs; the text of each line and its earliest mate is then
+parts them, and a line meets another's deletion exactly if one insertion does. Keys that only one line
+has are told by their neighbours in key order, over ranges that part even the lines of one key. Per key
+only the earliest line of each kind is kept, by partial minima, never pairs; the text of each line and its earliest mate is then
 compared by edit distance.
 
 Defined results: a null text stays null, with 0 lines; a document whose lines all go has an empty
@@ -19,13 +20,15 @@ empty result; extra columns pass through ``dedup_lines`` untouched, but n_lines
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, stay, tidy
+from .common import batches, cut, parts, stay, tidy
 
 WHITE_CHARS = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
@@ -79,11 +82,11 @@ def _lines(min_chars: int):
                 for k, line in enumerate((text or "").split("\n")):
                     line = line.strip(WHITE_CHARS)
                     if len(line) >= min_chars:
-                        h = xxhash.xxh3_128_intdigest(line.encode("utf-8"))
+                        h = hashlib.blake2b(line.encode("utf-8"), digest_size=16).digest()
                         row.append(i)
                         no.append(k)
-                        h1.append((h >> 64) - (1 << 63))
-                        h2.append((h & ((1 << 64) - 1)) - (1 << 63))
+                        h1.append(int.from_bytes(h[:8], "little", signed=True))
+                        h2.append(int.from_bytes(h[8:], "little", signed=True))
                         keys.append(half_keys(line))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -96,16 +99,16 @@ def _lines(min_chars: int):
 
 def _variants(record_batches):
     def batch(parts):
-        h, kinds, keys = zip(*parts, strict=True)
-        h1 = np.repeat(np.array(h, np.int64), [len(k) for k in kinds])
-        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], ["h1", "kind", "key"])
+        ids, kinds, keys = zip(*parts, strict=True)
+        line = np.repeat(np.array(ids, np.int64), [len(k) for k in kinds])
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], ["line", "kind", "key"])
 
     for f in record_batches:
         parts, size = [], 0
         for text, marked in zip(f.column("text").to_pylist(), f.column("marked").to_pylist(), strict=True):
             lines = text.split("\n")
             for m in marked:
-                parts.append((m["h1"], *variant_keys(lines[m["no"]].strip(WHITE_CHARS))))
+                parts.append((m["line"], *variant_keys(lines[m["no"]].strip(WHITE_CHARS))))
                 size += len(parts[-1][1])
                 if size > 500_000:
                     yield batch(parts)
@@ -114,11 +117,34 @@ def _variants(record_batches):
             yield batch(parts)
 
 
+def _neighbours(record_batches):
+    """Rows of a sorted range whose key a neighbour has too; the range's first and last row always pass, as neighbours may lie beyond."""
+    held, held_key, held_ok = None, None, False
+    for f in record_batches:
+        n = f.num_rows
+        if not n:
+            continue
+        k = f.column("key").to_numpy()
+        same, ok = k[1:] == k[:-1], np.zeros(n, bool)
+        ok[1:] |= same
+        ok[:-1] |= same
+        if held is None:
+            ok[0] = True
+        else:
+            if held_key == k[0]:
+                held_ok = ok[0] = True
+            if held_ok:
+                yield held
+        held, held_key, held_ok = f.slice(n - 1, 1), k[-1], ok[-1]
+        yield f.slice(0, n - 1).filter(pa.array(ok[:-1]))
+    if held is not None:
+        yield held
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (h1, key, …) whose key another row has too: one shuffle, and a sorted pass that keeps no group."""
-    w = Window.partitionBy("key").orderBy("h1")
-    near = rows.withColumn("_b", F.lag("h1").over(w)).withColumn("_a", F.lead("h1").over(w))
-    return near.where("_a is not null or _b is not null").drop("_a", "_b")
+    """Rows (line, key, …) whose key another row has too, and a few more: one shuffle by ranges of (key, line), so that no key is gathered."""
+    ranges = rows.repartitionByRange(parts(rows.sparkSession), "key", "line").sortWithinPartitions("key", "line")
+    return ranges.mapInArrow(_neighbours, rows.schema)
 
 
 def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -129,20 +155,22 @@ def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
         ), "lines",
     )
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("no").alias("n"), F.col("part").alias("p"), F.col("idx").alias("i"))
-    distinct = cut(lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.min("keys").alias("keys")), "distinct")
-    suspects = _shared(distinct.select("h1", F.explode("keys").alias("key"))).select("h1").distinct()
-    marked = distinct.select("h1", "at").join(suspects, "h1", "left_semi").groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "h1")).alias("marked"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.min("keys").alias("keys"))
+    distinct = cut(distinct.withColumn("line", F.monotonically_increasing_id()), "distinct")
+    suspects = _shared(distinct.select("line", F.explode("keys").alias("key"))).select("line").distinct()
+    marked = distinct.select("line", "at").join(suspects, "line", "left_semi").groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "line")).alias("marked"))
     texts = cut(table.select("part", "idx", F.col("row.text").cast("string").alias("text")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
-    # (h1, text) of the suspects, for the edit distance
-    own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.h1").alias("h1"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("line"))
-    met = _shared(texts.mapInArrow(tidy(_variants), "h1 long, kind byte, key long")).join(distinct.select("h1", "at"), "h1")
-    met = cut(met.withColumn("who", F.struct("at", "h1")), "met")
+    # (line, text) of the suspects, for the edit distance
+    own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.line").alias("line"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("said"))
+    batches(table.sparkSession, 10_000)  # rows are keys
+    met = cut(_shared(texts.mapInArrow(tidy(_variants), "line long, kind byte, key long")).join(distinct.select("line", "at"), "line").withColumn("who", F.struct("at", "line")), "met")
+    batches(table.sparkSession)
     first = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("who"))).alias(f"w{k}") for k in (0, 1, 2)])
     mate = F.when(F.col("kind") == 0, F.col("w1")).when(F.col("kind") == 1, F.col("w0")).otherwise(F.col("w2"))
-    pairs = met.join(first, "key").withColumn("mate", mate).where("mate.at < at").select("h1", F.col("mate.h1").alias("mate")).distinct()
-    near = pairs.join(own, "h1").join(own.select(F.col("h1").alias("mate"), F.col("line").alias("other")), "mate")
-    near = near.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h1").distinct().withColumn("near", F.lit(True))
-    gone = distinct.join(near, "h1", "left").where("times > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    pairs = met.join(first, "key").withColumn("mate", mate).where("mate.at < at").select("line", F.col("mate.line").alias("mate")).distinct()
+    near = pairs.join(own, "line").join(own.select(F.col("line").alias("mate"), F.col("said").alias("other")), "mate")
+    near = near.where(F.levenshtein("said", "other", 1).between(0, 1)).select("line").distinct().withColumn("near", F.lit(True))
+    gone = distinct.join(near, "line", "left").where("times > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     lost = lines.join(gone, ["h1", "h2"]).where(F.col("near") | ~((F.col("at.p") == F.col("part")) & (F.col("at.i") == F.col("idx")) & (F.col("at.n") == F.col("no"))))
     return lost.groupBy("part", "idx").agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
