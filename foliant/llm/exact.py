@@ -23,8 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, parts, shared_dir
+from .common import _folders, _tables, batches, parts, shared_dir
 
+#: Fingerprints that one owner gets, about.
+OWNED = 1 << 20
 WHITE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -124,18 +126,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_senders, "part int, idx long, doc_id long, n_cp long, fp long, sha string, norm binary")
     n, key = max(1, min(4096, parts(spark))), uuid.uuid4().hex
     rows.write.bucketBy(n, "part").option("path", f"{shared_dir(spark)}/foliant/{key}-senders").saveAsTable(f"foliant_senders_{key}")
+    _tables.append(f"foliant_senders_{key}")
+    _folders.append(f"{shared_dir(spark)}/foliant/{key}-senders")
     table = spark.table(f"foliant_senders_{key}")
 
-    sent = table.select("part", "fp").groupBy("part").applyInPandas(_send(n), "part int, owner int, codes binary, local binary")
+    owners = max(n, -(-table.count() // OWNED))
+    sent = table.select("part", "fp").groupBy("part").applyInPandas(_send(owners), "part int, owner int, codes binary, local binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part int, owner int, marks binary")
-    bits = table.select("part", "idx", "fp").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_rows_marked(n), "part int, bits binary")
+    bits = table.select("part", "idx", "fp").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_rows_marked(owners), "part int, bits binary")
     byte = F.conv(F.hex(F.expr("substring(bits, int(idx div 8) + 1, 1)")), 16, 10).cast("int")
     suspects = table.join(bits.hint("shuffle_hash"), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, int(7 - idx % 8))")) != 0)
-    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg_id"), (-F.col("part")).alias("neg_part"), (-F.col("idx")).alias("neg_idx")))
+    best = F.min(F.struct((-F.col("n_cp")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "part", "idx"))
     groups = suspects.groupBy("sha", "norm").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1").drop("norm")
     found = table.select("part", "idx", "doc_id", "sha").join(groups, "sha", "left")
-    first = F.col("best").isNull() | ((F.col("best.neg_part") == -F.col("part")) & (F.col("best.neg_idx") == -F.col("idx")))
+    first = F.col("best").isNull() | ((F.col("best.part") == F.col("part")) & (F.col("best.idx") == F.col("idx")))
     return found.select(
-        "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(-F.col("best.neg_id")).alias("keep_id"),
+        "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), first.alias("kept"), F.col("sha").alias("text_sha256"),
     )
