@@ -1,7 +1,8 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Training reads a bounded sample of labelled documents (``sample`` of each label, a documented bound)
-on the driver. Documents that mostly repeat another in the sample are left out, so that a copied
+Training reads a bounded sample of labelled documents on the driver: at most ``sample`` of each label and
+``sample_bytes`` of text together (documented bounds), chosen by hash; a document that would exceed the
+bytes is not cut but left out, and of rows with one id one is taken. Documents that mostly repeat another in the sample are left out, so that a copied
 text's own words don't pass for toxic. Words that mark toxic documents far more often than clean ones
 are the labelled tokens of toxic documents; all tokens of clean ones are labelled clean. The field has
 two states, a weight per word and per five-letter beginning, and transition weights; it is fitted by
@@ -194,8 +195,11 @@ def fit(texts: list[str], toxic: list[int], prior: float, ratio: float = 10.0, r
             trans = np.exp(trans_log)
             x = theta[wid] * (wid > 0) + theta[nw + hid] * (hid > 0) + theta[-1]
             p, forward, backward = marginals(x, starts, trans, field.first)
-            pair = forward[:-1, :, None] * trans * backward[1:, None, :]
-            pair = (pair / pair.sum(axis=(1, 2), keepdims=True))[follow].sum(axis=0)
+            pair = np.zeros((2, 2))
+            for a in range(0, total - 1, 65536):
+                some = slice(a, min(a + 65536, total - 1))
+                both = (forward[:-1][some, :, None] * trans * backward[1:][some, None, :])[follow[some]]
+                pair += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             g = np.zeros_like(theta)
             r = p - label
             g[:nw] = np.bincount(wid, r, nw)
@@ -260,36 +264,49 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> tuple[Field | None, float]:
-    """A field from at most ``sample`` documents of each label outside the held-out quarter, and the share of toxic labels."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, sample_bytes: int = 16_000_000) -> tuple[Field | None, float]:
+    """A field from a bounded sample of the documents outside the held-out quarter, and the share of toxic labels."""
     spark = docs.sparkSession
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where(~held_out(F.col("doc_id")))
     n = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None, n.get(1, 0) / max(1, sum(n.values()))
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    share, order = n[1] / (n[0] + n[1]), F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = [r for y in (0, 1) for r in own.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample).collect()]
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * sample).collect()
-    if len({r.toxic for r in rows}) < 2:
-        return None, n[1] / (n[0] + n[1])
-    return fit([r.text for r in rows], [r.toxic for r in rows], n[1] / (n[0] + n[1])), n[1] / (n[0] + n[1])
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1000) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # first their sizes, a row per id, then the texts that fit
+    what = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    sizes = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(what).alias("one")).select("doc_id", "one.*", order.alias("o")).orderBy("o", "doc_id").collect()
+    fits, total = [], 0
+    for r in sizes:
+        if total + r.size <= sample_bytes:
+            fits.append((r.doc_id, r.h))
+            total += r.size
+    wanted = F.broadcast(spark.createDataFrame(fits, "doc_id long, h long"))
+    texts = rows.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    toxic = {r.doc_id: r.toxic for r in picked}
+    place = {d: i for i, (d, _) in enumerate(fits)}
+    texts.sort(key=lambda r: place[r.doc_id])
+    labels_ = [toxic[r.doc_id] for r in texts]
+    if len(set(labels_)) < 2:
+        return None, share
+    return fit([r.text for r in texts], labels_, share), share
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1000, sample_bytes: int = 16_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, toxic_spans."""
     batches(docs.sparkSession)
-    field, share = train(docs, labels, sample)
+    field, share = train(docs, labels, sample, sample_bytes)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         tidy(_score(field, share, threshold)), "doc_id long, score double, predicted int, toxic_spans string"
     )
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1000) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1000, sample_bytes: int = 16_000_000) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold."""
     batches(docs.sparkSession)
-    field, share = train(docs, labels, sample)
+    field, share = train(docs, labels, sample, sample_bytes)
     return docs.mapInArrow(tidy(_keep(field, share, threshold)), docs.schema)

@@ -235,3 +235,9 @@ def test_a_passage_that_a_third_of_all_documents_share(spark):
     for keep_first in (False, True):
         got = {x.doc_id: tuple(x)[1:] for x in substrings.remove_repeats(df, 400, keep_first, 10).collect()}
         assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400, keep_first)))
+
+
+def test_lines_with_one_very_common_key(spark):
+    half = "a very common first half of a line, and then "
+    rows = [(i, f"{half}{i:04d}{'x' * 40}\nalone {i} " + "abcdefghij"[i % 10] * 30, None, "s", None, None, None) for i in range(400)]
+    assert Counter((x.doc_id, x.text) for x in lines.dedup_lines(frame(spark, rows)).collect()) == brute_lines(rows)

@@ -227,3 +227,27 @@ def test_graph_recall_in_one_shard_beyond_the_beam():
     want = np.argsort(-(q @ x.T), axis=1)[:, :20]
     best = [set(f[np.argsort(-(x[f] @ v))[:20]].tolist()) for f, v in zip(found, q, strict=True)]
     assert np.mean([len(b & set(w.tolist())) / 20 for b, w in zip(best, want, strict=True)]) >= 0.9
+
+
+def test_toxicity_sample_is_bounded_and_takes_an_id_once(spark):
+    docs, labels = labelled(spark)
+    toxic = next(r.doc_id for r in labels.where("toxic = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    many = docs + [docs[toxic]] * 3000 + [(6000, "word " * 400_000, None, None, None, None, None)]
+    more = labels.unionByName(spark.createDataFrame([(6000, 0)], "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(frame(spark, many), more, sample_bytes=300_000).where("held_out").collect()
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert np.mean([r.predicted == truth.get(r.doc_id, 0) for r in got]) > 0.95
+
+
+def test_what_operators_wrote_can_be_released(spark):
+    from foliant.llm import common
+
+    common.cut(spark.range(3).toDF("i"), "x")
+    path = common._folders[-1].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path)
+    table = common.stay(spark.range(3).toDF("i"), "y")
+    assert table.count() == 3
+    common.release(spark)
+    assert not os.path.isdir(path) and not common._tables
