@@ -113,3 +113,20 @@ def test_spans_that_meet(spark):
     for x in df.select("i", pii.meets(F.col("a"), F.col("b")).alias("y")).collect():
         _, a, b = rows[x.i]
         assert x.y == [int(any(p < f and e < q for p, q in b)) for e, f in a]
+
+
+def test_dense_spans_find_planted_strings_and_leave_identifiers():
+    import random
+    import string
+
+    import public_tokenizers as P
+
+    r = random.Random(1)
+    enc = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = "person problem service handler request response config build index token parser window session manager default result update delete partition configuration authentication".split()
+    letters = lambda a: lambda: "".join(r.choice(a) for _ in range(r.randint(20, 40)))
+    planted = {letters(string.ascii_letters + string.digits): 0.97, letters(string.ascii_letters): 0.95, letters(string.ascii_lowercase + string.digits): 0.97, lambda: letters(string.ascii_letters)() + "2024": 0.95}
+    harmless = [lambda: "_".join(r.choices(words, k=4)) + "_2024", lambda: "".join(w.title() for w in r.choices(words, k=4)), lambda: "/".join(r.choices(words, k=5)) + "17", lambda: "".join(r.choices(words, k=4))]
+    share = lambda f: sum(bool(secrets.dense_spans(f"see {f()} now", [], enc, 2.2)) for _ in range(300)) / 300
+    assert all(share(f) >= least for f, least in planted.items())
+    assert all(share(f) == 0 for f in harmless)
