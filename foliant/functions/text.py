@@ -28,6 +28,15 @@ def search_terms(text: Column) -> Column:
     return _terms(text, SEARCH_STOP)
 
 
+def pieces(text: Column) -> Column:
+    """All stretches of letters and digits, lower-cased; for rows of their own, of which ``is_index_term`` keeps the terms."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALPHANUMERIC)
+
+
+def is_index_term(word: Column) -> Column:
+    return (F.octet_length(word) >= 2) & ~word.isin(*INDEX_STOP)
+
+
 def query_keywords(query: str) -> list[str]:
     """Keywords of a question, in order and once each."""
     words = re.findall(r"\b\w+\b", query.lower())

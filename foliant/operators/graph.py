@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import index_terms
+from ..functions.staging import cut
+from ..functions.text import is_index_term, pieces
 from .search import bm25, top_k
 
 
 def keyword_profiles(units: DataFrame, key: str, text: str, most: int = 50) -> DataFrame:
     """(doc, keyword, weight): each document's ``most`` heaviest keywords, relative to its heaviest."""
-    t = units.select(F.col(key).cast("string").alias("doc"), F.explode(index_terms(F.col(text))).alias("keyword"))
+    t = units.select(F.col(key).cast("string").alias("doc"), F.explode(pieces(F.col(text))).alias("keyword")).where(is_index_term(F.col("keyword")))
     n = t.groupBy("doc", "keyword").agg(F.count("*").alias("n"))
     w = n.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy("doc")))
     return graph_nodes(w.select("doc", "keyword", "weight"), most)
@@ -32,6 +33,7 @@ def graph_edges(profiles: DataFrame, least_shared: int = 2, least_jaccard: float
     Prefix filter: documents with a Jaccard similarity of t share one of the n - ceil(t n) + 1 rarest
     keywords of each, so the hottest keywords need no join; the exact counts are taken for those pairs only.
     """
+    profiles = cut(profiles, "profiles")
     df = profiles.groupBy("keyword").agg(F.count("*").alias("df"))
     sized = profiles.join(df, "keyword").withColumn("n", F.count("*").over(Window.partitionBy("doc")))
     rare = F.row_number().over(Window.partitionBy("doc").orderBy("df", "keyword"))
@@ -43,7 +45,8 @@ def graph_edges(profiles: DataFrame, least_shared: int = 2, least_jaccard: float
     p = p.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("ka") + F.size("kb") - F.col("shared")))
     p = p.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard))
     p = p.withColumn("weight", F.least(F.lit(1.0), 0.6 * F.col("jaccard") + 0.4 * F.least(F.col("shared") / full, F.lit(1.0))))
-    return p.select(F.col("a").alias("src"), F.col("b").alias("dst"), "shared", "jaccard", "weight").unionByName(p.select(F.col("b").alias("src"), F.col("a").alias("dst"), "shared", "jaccard", "weight"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return p.select(ends.alias("e"), "shared", "jaccard", "weight").select("e.*", "shared", "jaccard", "weight")
 
 
 def trim_edges(edges: DataFrame, most: int = 20) -> DataFrame:
@@ -54,6 +57,7 @@ def trim_edges(edges: DataFrame, most: int = 20) -> DataFrame:
 
 def fuse_routes(scored: DataFrame, terms: Sequence[str], edges: DataFrame, profiles: DataFrame, k: int = 15) -> DataFrame:
     """Documents for a question from their scores (doc, score): half of it BM25, three tenths keyword overlap, two tenths what the best hits' neighbours lend."""
+    scored = cut(scored, "scored")
     best = scored.agg(F.max("score").alias("best"))
     scored = scored.crossJoin(best).select("doc", (F.col("score") / F.col("best")).alias("bm25"))  # best is one row
     asked = F.array(*[F.lit(t) for t in terms])

@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from ..functions.text import fingerprint
 
 
 def node_fingerprints(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, title, content_fp, subtree_fp): the subtree's is a hash of its content hashes and depths in pre-order."""
-    item = F.struct("node_id", "last_desc", "depth", "title", fingerprint(F.col("title"), F.col("content")).alias("fp"))
-    tree = nodes.select("doc_id", item.alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("t"))
-
-    def one(n):  # a subtree is a slice of the document's nodes
-        below = F.transform(F.slice("t", n["node_id"], n["last_desc"] - n["node_id"] + 1), lambda x: F.concat((x["depth"] - n["depth"]).cast("string"), F.lit(":"), x["fp"]))
-        return F.struct(n["node_id"].alias("node_id"), n["title"].alias("title"), n["fp"].alias("content_fp"), F.sha2(F.array_join(below, ","), 256).alias("subtree_fp"))
-
-    return tree.select("doc_id", F.explode(F.transform("t", one)).alias("n")).select("doc_id", "n.*")
+    """(doc_id, node_id, title, content_fp, subtree_fp): the subtree's is a hash of its content's and its children's in order.
+
+    Folded from the lowest depth up to the roots, a level at a time over written tables, so that only a
+    node's children ever stand in one row.
+    """
+    if "parent_id" not in nodes.columns:  # the last node above, of those whose subtree reaches here
+        up = nodes.select("doc_id", F.col("node_id").alias("_p"), F.col("last_desc").alias("_z"), F.col("depth").alias("_d"))
+        of = nodes.join(up, "doc_id").where("_p < node_id and node_id <= _z and _d = depth - 1").select("doc_id", "node_id", F.col("_p").alias("parent_id"))
+        nodes = nodes.join(of, ["doc_id", "node_id"], "left")
+    own = nodes.select("doc_id", "node_id", "parent_id", "depth", "title", fingerprint(F.col("title"), F.col("content")).alias("content_fp"))
+    own = cut(own, "own")
+    out, below = None, None
+    for k in range(own.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = own.where(F.col("depth") == k)
+        if below is None:
+            level = level.withColumn("subtree_fp", F.sha2("content_fp", 256))
+        else:
+            kids = below.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "subtree_fp"))).alias("kids"))
+            under = F.array_join(F.transform(F.coalesce("kids", F.array().cast("array<struct<node_id:int,subtree_fp:string>>")), lambda x: x["subtree_fp"]), ",")
+            level = level.join(kids, ["doc_id", "node_id"], "left").withColumn("subtree_fp", F.sha2(F.concat_ws(",", "content_fp", F.nullif(under, F.lit(""))), 256)).drop("kids")
+        below = level = cut(level, "level")
+        done = level.select("doc_id", "node_id", "title", "content_fp", "subtree_fp")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -80,3 +96,58 @@ def logic_fingerprint(options: dict) -> str:
 def last_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(F.desc(order))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+class ChangeSet:
+    """Changes (doc_id, title, change) and what they come to."""
+
+    def __init__(self, changes: DataFrame):
+        self.changes = changes
+
+    def is_empty(self) -> bool:
+        return self.changes.isEmpty()
+
+    def counts(self) -> dict[str, int]:
+        return {r.change: r["count"] for r in self.changes.groupBy("change").count().collect()}  # four kinds at most
+
+    def total_changes(self) -> int:
+        return sum(self.counts().values())
+
+    def merge(self, other: ChangeSet) -> ChangeSet:
+        """Both sets of changes; the other's word on a title replaces this one's."""
+        return ChangeSet(upsert(self.changes, other.changes, ["doc_id", "title"]))
+
+    def changed_titles(self) -> DataFrame:
+        """What still exists of the changed nodes: those removed are not among them."""
+        return self.changes.where("change <> 'removed'").select("doc_id", "title")
+
+
+class ChangeDetector:
+    """What is known of documents: a state (doc_id, content_fp, logic_fp, version, modified)."""
+
+    COLUMNS = ("doc_id", "content_fp", "logic_fp", "version", "modified")
+
+    def __init__(self, state: DataFrame):
+        self.state = state.select(*self.COLUMNS)
+
+    def record(self, seen: DataFrame) -> ChangeDetector:
+        return ChangeDetector(upsert(self.state, seen.select(*self.COLUMNS), ["doc_id"]))
+
+    def clear(self) -> ChangeDetector:
+        return ChangeDetector(self.state.limit(0))
+
+    def to_state(self) -> DataFrame:
+        """The state to store; times of files do not outlast the process that saw them."""
+        return self.state.drop("modified")
+
+    @staticmethod
+    def from_state(state: DataFrame) -> ChangeDetector:
+        return ChangeDetector(state.withColumn("modified", F.lit(None).cast("timestamp")))
+
+    def needing(self, seen: DataFrame) -> DataFrame:
+        """Of ``seen`` the documents to compile again: unknown ones, newer files, and changed content, logic or version."""
+        old = self.state.toDF("doc_id", "_c", "_l", "_v", "_m")
+        j = seen.join(old, "doc_id", "left")
+        newer = F.coalesce(F.col("modified") > F.col("_m"), F.lit(False))
+        same = ~(needs_recompile(F.col("_c"), F.col("content_fp")) | needs_recompile(F.col("_l"), F.col("logic_fp")) | needs_recompile(F.col("_v"), F.col("version")))
+        return j.where(newer | ~same).select(seen.columns)

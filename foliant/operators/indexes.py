@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import composite, data_richness, density, index_terms, jaccard, specificity, word_set
+from ..functions.staging import cut
+from ..functions.text import composite, data_richness, density, is_index_term, jaccard, pieces, specificity, word_set
 from .trees import leaf_counts
 
 
-def postings(nodes: DataFrame, max_keywords: int = 5000, max_nodes: int = 20) -> DataFrame:
-    """Weighted postings (doc_id, keyword, node_id, weight, depth).
+def postings(nodes: DataFrame, max_keywords: int = 5000, max_nodes: int = 20, only: Sequence[str] | None = None) -> DataFrame:
+    """Weighted postings (doc_id, keyword, node_id, weight, depth), of all keywords or of those in ``only``.
 
     An occurrence adds 2 in a title, 1.5 in a summary, 1 in content; per document the keywords of most
     occurrences stay, and per keyword the heaviest nodes, with weights relative to the heaviest.
     """
     fields = [("title", 2.0), ("content", 1.0)] + ([("summary", 1.5)] if "summary" in nodes.columns else [])
-
-    def weighed(column: str, w: float):
-        return F.transform(index_terms(F.col(column)), lambda t: F.struct(t.alias("keyword"), F.lit(w).alias("w")))
-
-    weighted = F.concat(*[weighed(c, w) for c, w in fields])
-    each = nodes.select("doc_id", "node_id", "depth", F.explode(weighted).alias("t")).select("doc_id", "node_id", "depth", "t.*")
-    per_node = each.groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    texts = F.explode(F.array(*[F.struct(F.col(c).alias("text"), F.lit(w).alias("w")) for c, w in fields]))
+    each = nodes.select("doc_id", "node_id", "depth", texts.alias("f")).select("doc_id", "node_id", "depth", F.explode(pieces(F.col("f.text"))).alias("keyword"), "f.w").where(is_index_term(F.col("keyword")))
+    if only is None:
+        return _kept(each, max_keywords, max_nodes)
+    # a document of no more words than keywords stay loses none, so the asked ones are all that is needed of it
+    held = each.groupBy("doc_id", "node_id", "depth", F.when(F.col("keyword").isin(list(only)), F.col("keyword")).alias("keyword"), "w").agg(F.count("*").alias("n"))
+    held = cut(held, "asked")
+    long = cut(held.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > max_keywords).select("doc_id"), "long")
+    whole = postings(nodes.join(long, "doc_id", "left_semi"), max_keywords, max_nodes).where(F.col("keyword").isin(list(only)))
+    asked = held.where("keyword is not null").join(long, "doc_id", "left_anti").select("doc_id", "node_id", "depth", "keyword", (F.col("w") * F.col("n")).alias("w"), "n")
+    return whole.unionByName(_kept(asked, max_keywords, max_nodes))
+
+
+def _kept(each: DataFrame, max_keywords: int, max_nodes: int) -> DataFrame:
+    """Postings of occurrences (doc_id, node_id, depth, keyword, w), each counting once or ``n`` times."""
+    n = F.sum("n") if "n" in each.columns else F.count("*")
+    per_node = each.groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), n.alias("n"))
     # one shuffle by document serves the totals, the ranks and the cuts
-    by_kw = Window.partitionBy("doc_id", "keyword")
-    top = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("total"), "keyword"))
-    p = per_node.withColumn("total", F.sum("n").over(by_kw)).withColumn("most", F.max("w").over(by_kw)).withColumn("kr", top).where(F.col("kr") <= max_keywords)
-    rank = F.row_number().over(by_kw.orderBy(F.desc("w"), "node_id"))
-    return p.withColumn("r", rank).where(F.col("r") <= max_nodes).select("doc_id", "keyword", "node_id", (F.col("w") / F.col("most")).alias("weight"), "depth")
+    by_kw = Window.partitionBy("doc_id", "keyword").orderBy(F.desc("w"), "node_id")
+    p = per_node.withColumn("r", F.row_number().over(by_kw)).withColumn("most", F.first("w").over(by_kw)).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "keyword")))
+    p = p.where(F.col("r") <= max_nodes).withColumn("kr", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("total"), "keyword")))
+    return p.where(F.col("kr") <= max_keywords).select("doc_id", "keyword", "node_id", (F.col("w") / F.col("most")).alias("weight"), "depth")
 
 
 def expand_synonyms(posting: DataFrame, synonyms: DataFrame, factor: float = 0.6, most: int = 5) -> DataFrame:
@@ -126,27 +138,29 @@ def similar_sets(sets: DataFrame, key: list[str], scope: list[str], least: float
     Prefix filter: in any fixed order of words, two such sets share one of the first n - ceil(least n) + 1
     words of each. The order is by how few sets of the scope hold a word, so hot words are not joined on.
     """
-    n = F.size("ws")
-    w = sets.where("size(ws) > 0").select(*scope, *key, "ws", F.posexplode("ws").alias("_p", "word"))
+    sets = cut(sets.where("size(ws) > 0").select(*scope, *key, "ws", F.size("ws").alias("n")), "sets")
+    w = sets.select(*scope, *key, "n", F.explode("ws").alias("word"))
     df = w.groupBy(*scope, "word").agg(F.count("*").alias("df"))
-    ranked = w.drop("_p").join(df, [*scope, "word"])
     order = F.row_number().over(Window.partitionBy(*scope, *key).orderBy("df", "word"))
-    pre = ranked.withColumn("r", order).where(F.col("r") <= n - F.ceil(n * least - 1e-9) + 1).select(*scope, *key, "ws", "word")
-    a = pre.select(*scope, "word", F.struct(*key).alias("a"), F.col("ws").alias("ws_a"))
-    b = pre.select(*scope, "word", F.struct(*key).alias("b"), F.col("ws").alias("ws_b"))
-    sizes = (F.size("ws_a") >= F.size("ws_b") * least - 1e-9) & (F.size("ws_b") >= F.size("ws_a") * least - 1e-9)
-    pairs = a.join(b, [*scope, "word"]).where((F.col("a") < F.col("b")) & sizes).drop("word").dropDuplicates([*scope, "a", "b"])
+    ranked = w.join(df, [*scope, "word"]).withColumn("r", order)
+    # words of one set alone make no pair; only ids travel with the words
+    pre = cut(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1)).select(*scope, "word", F.struct(*key).alias("k"), "n"), "prefixes")
+    a, b = (pre.select(*scope, "word", F.col("k").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    sizes = (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)
+    pairs = a.join(b, [*scope, "word"]).where((F.col("a") < F.col("b")) & sizes).select(*scope, "a", "b").distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(*scope, F.struct(*key).alias(x), F.col("ws").alias(f"ws_{x}")), [*scope, x])
     return pairs.withColumn("similarity", jaccard(F.col("ws_a"), F.col("ws_b"))).where(F.col("similarity") >= least).select(*scope, "a", "b", "similarity")
 
 
 def overlaps(nodes: DataFrame, least: float = 0.8, min_bytes: int = 50) -> DataFrame:
     """Pairs of a document's leaves of ``min_bytes`` or more that repeat each other, and how."""
     leaves = nodes.where(F.col("is_leaf") & (F.octet_length("content") >= min_bytes))
-    sets = leaves.select("doc_id", "node_id", word_set(F.col("content")).alias("ws"))
-    p = similar_sets(sets, ["node_id"], ["doc_id"], least).select("doc_id", F.col("a.node_id").alias("node_a"), F.col("b.node_id").alias("node_b"), "similarity")
-    size = leaves.select("doc_id", "node_id", F.octet_length("content").alias("bytes"))
-    p = p.join(size.toDF("doc_id", "node_a", "bytes_a"), ["doc_id", "node_a"]).join(size.toDF("doc_id", "node_b", "bytes_b"), ["doc_id", "node_b"])
-    return p.select("doc_id", "node_a", "node_b", "similarity", overlap_type(F.col("similarity"), F.col("bytes_a"), F.col("bytes_b")).alias("overlap_type"))
+    # a leaf's size goes with its number, so that pairs need no more joins
+    sets = leaves.select("doc_id", "node_id", F.octet_length("content").alias("bytes"), word_set(F.col("content")).alias("ws"))
+    p = similar_sets(sets, ["node_id", "bytes"], ["doc_id"], least)
+    kind = overlap_type(F.col("similarity"), F.col("a.bytes"), F.col("b.bytes"))
+    return p.select("doc_id", F.col("a.node_id").alias("node_a"), F.col("b.node_id").alias("node_b"), "similarity", kind.alias("overlap_type"))
 
 
 def overlap_type(similarity, bytes_a, bytes_b):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from ..functions.text import search_terms, snippet
 
 K1, B = 1.5, 0.75
@@ -15,12 +16,13 @@ K1, B = 1.5, 0.75
 def bm25(units: DataFrame, terms: Sequence[str], text: Column, key: list[str], scope: list[str] | None = None) -> DataFrame:
     """Scores (key, score, matched) of the units that hold any of ``terms``; N, df and the mean length per ``scope``.
 
-    One pass over the units counts tokens and the query's terms in each; only those counts are shuffled.
+    One pass over the units counts tokens and the query's terms in each; the counts are written once and serve the
+    statistics and the scores.
     """
     scope = scope or []
     t = units.select(*scope, *key, search_terms(text).alias("t"))
     tf = [F.size(F.filter("t", F.lit(q).__eq__)).alias(f"f{i}") for i, q in enumerate(terms)]
-    t = t.where("size(t) > 0").select(*scope, *key, F.size("t").alias("len"), *tf)
+    t = cut(t.select(*scope, *key, F.size("t").alias("len"), *tf), "counts").where("len > 0")
     stats = t.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     t = t.join(stats, scope) if scope else t.crossJoin(stats)  # the other side is one row
     score, matched = F.lit(0.0), F.lit(0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from ..functions.text import token_estimate
 
 NODE_COLUMNS = ["doc_id", "node_id", "parent_id", "last_desc", "depth", "structure", "title", "content", "is_leaf"]
@@ -104,10 +105,11 @@ def subtree_pairs(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor_id, distance) from the parent up to the root, one join per level of depth."""
-    up = nodes.select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id")).where("ancestor_id is not null")
-    edge = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next_id"))
+    edges = cut(nodes.select("doc_id", "node_id", "parent_id", "depth"), "edges")
+    up = edges.select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id")).where("ancestor_id is not null")
+    edge = edges.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next_id"))
     out, level = up.withColumn("distance", F.lit(1)), up
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    deepest = edges.agg(F.max("depth")).first()[0] or 0
     for k in range(2, deepest + 1):
         level = level.join(edge, ["doc_id", "ancestor_id"]).where("next_id is not null").select("doc_id", "node_id", F.col("next_id").alias("ancestor_id"))
         out = out.unionByName(level.withColumn("distance", F.lit(k)))
@@ -271,3 +273,64 @@ def split_leaves(nodes: DataFrame, max_tokens: int = 4000) -> DataFrame:
     out = big.select("doc_id", "node_id", "title", F.posexplode(chunks).alias("k", "chunk")).withColumn("content", F.trim(F.regexp_replace("chunk", r"^\s+|\s+$", ""))).where("content <> ''")
     named = F.when(F.col("content").startswith("#"), F.trim(F.regexp_replace(F.substring_index("content", "\n", 1), "^#+", ""))).otherwise(F.concat("title", F.lit(" (part "), (F.col("k") + 1).cast("string"), F.lit(")")))
     return out.select("doc_id", "node_id", (F.col("k") + 1).alias("part"), named.alias("title"), "content")
+
+
+def split_raw(raw: DataFrame, max_tokens: int = 4000) -> DataFrame:
+    """Raw nodes with the parts of too large leaves (``split_leaves``) in place of their text, a level deeper."""
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    r = raw.select("doc_id", "seq", "level", "title", "content", F.coalesce(F.lead("level").over(w) <= F.col("level"), F.lit(True)).alias("is_leaf"))
+    parts = split_leaves(r.where(F.col("level") < MAX_LEVEL).select("doc_id", F.col("seq").alias("node_id"), "title", "content", "is_leaf"), max_tokens).withColumnRenamed("node_id", "seq")
+    cut_up = parts.select("doc_id", "seq").distinct().withColumn("cut", F.lit(True))
+    heads = r.join(cut_up, ["doc_id", "seq"], "left").select("doc_id", "seq", F.lit(0).alias("part"), "level", "title", F.when(F.col("cut"), "").otherwise(F.col("content")).alias("content"))
+    below = parts.join(r.select("doc_id", "seq", "level"), ["doc_id", "seq"]).select("doc_id", "seq", "part", (F.col("level") + 1).cast("int").alias("level"), "title", "content")
+    return heads.unionByName(below).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "part"))).drop("part")
+
+
+def optimised(nodes: DataFrame, threshold: int = 0) -> DataFrame:
+    """``nodes`` with small sibling leaves merged (if ``threshold`` is positive) and empty inner nodes marked in their titles."""
+    if threshold > 0:
+        m = merge_small_leaves(nodes, threshold)
+        changes = m.select("doc_id", "node_id", F.col("content").alias("_c"), F.lit(None).cast("string").alias("_t")).unionByName(m.select("doc_id", F.col("donor_id").alias("node_id"), F.lit("").alias("_c"), F.col("donor_new_title").alias("_t")))
+        nodes = nodes.join(changes, ["doc_id", "node_id"], "left").withColumns({"title": F.coalesce("_t", "title"), "content": F.coalesce("_c", "content")}).drop("_c", "_t")
+    marked = mark_empty(nodes)
+    return nodes.join(marked, ["doc_id", "node_id"], "left").withColumn("title", F.coalesce("new_title", "title")).drop("new_title")
+
+
+def limited(nodes: DataFrame, max_depth: int | None = None, max_children: int | None = None) -> DataFrame:
+    """``nodes`` down to a depth, and of each parent only its first children, with what lies below those."""
+    kept = nodes if max_depth is None else nodes.where(F.col("depth") <= max_depth)
+    if max_children is None:
+        return kept
+    gone = children(nodes).where(F.col("position") > max_children).select("doc_id", F.col("node_id").alias("_a")).join(nodes.select("doc_id", F.col("node_id").alias("_a"), F.col("last_desc").alias("_z")), ["doc_id", "_a"])
+    # subtrees nest, so a running maximum of their ends tells what lies in any of them
+    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = kept.join(gone.select("doc_id", F.col("_a").alias("node_id"), "_z"), ["doc_id", "node_id"], "left").withColumn("_end", F.coalesce(F.max("_z").over(w), F.lit(0)))
+    return ends.where(F.col("node_id") > F.col("_end")).drop("_z", "_end")
+
+
+def numbered(node_id: Column) -> Column:
+    """Node numbers as text of four digits or more."""
+    return F.when(node_id > 9999, node_id.cast("string")).otherwise(F.lpad(node_id.cast("string"), 4, "0"))
+
+
+def toc_filtered(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """The subtrees of the nodes that ``wanted`` holds for, once each, in pre-order."""
+    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.coalesce(F.max(F.when(wanted, F.col("last_desc"))).over(w), F.lit(0))
+    return nodes.withColumn("_end", end).where(F.col("node_id") <= F.col("_end")).drop("_end")
+
+
+def toc_from(nodes: DataFrame, node_id: int, max_depth: int | None = None) -> DataFrame:
+    """The table of contents below a node, down to ``max_depth`` levels; what is cut off there shows as "..."."""
+    top = nodes.where(F.col("node_id") == node_id).select("doc_id", F.col("node_id").alias("_a"), F.col("last_desc").alias("_z"), F.col("depth").alias("_d"))
+    t = nodes.join(top, "doc_id").where("node_id between _a and _z").withColumn("below", F.col("depth") - F.col("_d")).drop("_a", "_z", "_d")
+    if max_depth is None:
+        return t
+    shown = t.where(F.col("below") <= max_depth)
+    clipped = (F.col("below") == max_depth) & ~F.col("is_leaf")
+    return shown.withColumn("title", F.when(clipped, F.concat("title", F.lit(" ..."))).otherwise(F.col("title")))
+
+
+def tree_counts(nodes: DataFrame) -> DataFrame:
+    """(doc_id, n_nodes, n_leaves, n_sections, max_depth) of whole trees; sections are all nodes, the root too."""
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if("is_leaf").alias("n_leaves"), F.count_if(~F.col("is_leaf")).alias("n_inner"), F.max("depth").alias("max_depth"))

@@ -37,6 +37,11 @@ class Navigator:
         row = search.resolve_target(self.nodes, self.doc_id, self.cursor, target).first()
         return row is not None and self.cd_id(row.node_id)
 
+    def cd_by_title(self, title: str) -> bool:
+        """To the first node of the document with a title, whatever its case."""
+        row = self.nodes.where(F.lower("title") == title.strip().lower()).orderBy("node_id").first()
+        return row is not None and self.cd_id(row.node_id)
+
     def cd_id(self, node_id: int) -> bool:
         if self._node(node_id) is None:
             return False
@@ -72,6 +77,28 @@ class Navigator:
             self.evidence[n] = {"source_path": f"{self.pwd()} / {row.title}" if n != self.cursor else self.pwd(), "node_title": row.title, "content": row.content}
         return row.content
 
+    def collect_evidence(self, node_id: int | None = None) -> list[dict]:
+        """What was collected so far, with a node's text added to it."""
+        self.cat(node_id)
+        return list(self.evidence.values())
+
+    def info(self) -> dict[str, int]:
+        c = trees.tree_counts(self.nodes).first()
+        return {"doc_id": self.doc_id, "sections": c.n_nodes, "leaves": c.n_leaves, "max_depth": c.max_depth}
+
+    def node_title(self, node_id: int) -> str | None:
+        row = self._node(node_id)
+        return row.title if row else None
+
+    def grep_node(self, pattern: str, node_id: int | None = None) -> list[Row]:
+        return search.grep(self.nodes.where(F.col("node_id") == (node_id or self.cursor)), pattern).orderBy("line_no").collect()
+
+    def toc_filtered(self, wanted) -> list[Row]:
+        return trees.toc(trees.toc_filtered(self.nodes, wanted)).orderBy("node_id").select("node_id", "depth", "title").collect()
+
+    def toc_from(self, node_id: int | None = None, max_depth: int | None = None) -> list[Row]:
+        return trees.toc_from(self.nodes, node_id or self.cursor, max_depth).orderBy("node_id").select("node_id", "depth", "title").collect()
+
     def head(self, n: int = 10, node_id: int | None = None) -> str:
         row = self.nodes.where(F.col("node_id") == (node_id or self.cursor)).select(trees.head(F.col("content"), F.col("title"), n).alias("h")).first()
         return row.h if row else ""
@@ -107,6 +134,38 @@ class Navigator:
     def keyword_entries(self, keyword: str) -> list[Row]:
         return search.keyword_entries(self.tables["postings"], keyword).orderBy(F.desc("weight"), "node_id").collect()
 
+    def topic_summary(self, keyword: str) -> str:
+        """The titles of the nodes that hold a keyword, heaviest first, with their weights."""
+        held = {r.node_id: r.weight for r in self.keyword_entries(keyword)}
+        titles = {r.node_id: r.title for r in self.nodes.where(F.col("node_id").isin(list(held))).select("node_id", "title").collect()}
+        return "\n".join(f"- {titles[n]} [{n}] ({w:.2f})" for n, w in held.items())
+
+    def intent_routes(self, node_id: int | None = None) -> list[Row]:
+        """Where the questions of a node lead."""
+        return self.tables["intent_routes"].where(F.col("parent_id") == (node_id or self.cursor)).orderBy("rank").collect()
+
+    def concept_routes(self, keyword: str) -> list[Row]:
+        """Targets of all concepts that hold a keyword."""
+        return self.tables["concept_routes"].where(F.col("concept").contains(keyword.lower())).orderBy("concept", "rank").collect()
+
+    def node_routing(self, node_id: int | None = None) -> Row | None:
+        """A node's own questions and tags."""
+        return self.nodes.where(F.col("node_id") == (node_id or self.cursor)).select("node_id", "hints", "tags").first()
+
+    def premises_from(self, node_id: int | None = None) -> list[int]:
+        """Nodes that a node's statements rest on."""
+        return sorted({r.premise for r in self.tables["chains"].where(F.col("conclusion") == (node_id or self.cursor)).collect()})
+
+    def conclusions_from(self, node_id: int | None = None) -> list[int]:
+        return sorted({r.conclusion for r in self.tables["chains"].where(F.col("premise") == (node_id or self.cursor)).collect()})
+
+    def counts(self) -> dict[str, int]:
+        """How much each index holds of the document."""
+        return {name: t.count() for name, t in self.tables.items()}
+
+    def has_overlap(self, node_id: int | None = None) -> bool:
+        return bool(self.overlaps_for(node_id))
+
     def chains_for(self, node_id: int | None = None) -> list[Row]:
         return references.chains_for(self.tables["chains"]).where(F.col("node_id") == (node_id or self.cursor)).collect()
 

@@ -16,6 +16,7 @@ class Stage:
     priority: int = 100
     optional: bool = False
     retries: int = 0
+    pause: float = 0.0
 
 
 @dataclass
@@ -27,10 +28,17 @@ class Pipeline:
     skipped: dict[str, str] = field(default_factory=dict)
     on_event: Callable[[str, str], None] | None = None
 
-    def stage(self, name: str, run: Callable, after: tuple[str, ...] = (), priority: int = 100, optional: bool = False, retries: int = 0) -> Pipeline:
-        self.stages[name] = Stage(name, run, after, priority, optional, retries)
+    def stage(self, name: str, run: Callable, after: tuple[str, ...] = (), priority: int = 100, optional: bool = False, retries: int = 0, pause: float = 0.0) -> Pipeline:
+        """Adds a stage: a failing one is tried again ``retries`` times after growing pauses, then skipped if optional."""
+        self.stages[name] = Stage(name, run, after, priority, optional, retries, pause)
         return self
 
+    def has_stage(self, name: str) -> bool:
+        return name in self.stages
+
+    def stage_names(self) -> list[str]:
+        return list(self.stages)
+
     def remove_stage(self, name: str) -> Pipeline:
         self.stages.pop(name, None)
         return self
@@ -62,6 +70,7 @@ class Pipeline:
                     break
                 except Exception as e:
                     if left:
+                        time.sleep(s.pause * 2 ** (s.retries - left))
                         continue
                     if not s.optional:
                         raise

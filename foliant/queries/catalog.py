@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import cut
 from ..functions.words import FILLER, INDEX_STOP, SEARCH_STOP
 from ..operators import evidence, graph, incremental, indexes, references, search, trees
 from ..sources import markdown, pages
@@ -530,7 +531,7 @@ def router_fusion(spark, sf_dir):
     """Sources ranked for a question: BM25 of their documents, keyword overlap, and what neighbours lend."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     scored = search.bm25(d, TERMS, F.col("text"), ["source", "doc_id"]).groupBy(F.col("source").alias("doc")).agg(F.sum("score").alias("score"))
-    p = _profiles(spark, sf_dir)
+    p = cut(_profiles(spark, sf_dir), "profiles")
     r = graph.fuse_routes(scored, TERMS, graph.graph_edges(p), p)
     return r.select("doc", *[F.round(c, 6).alias(c) for c in ("bm25", "overlap", "boost", "score")], "rank")
 
@@ -612,7 +613,7 @@ def _scout(spark, sf_dir):
     n = nodes(spark, sf_dir)
     scored = search.bm25(n, TERMS, F.concat_ws(" ", "title", "content"), ["node_id"], ["doc_id"]).withColumn("score", F.round("score", 9))
     found = search.top_k(scored, 12, [F.desc("score"), F.col("node_id")], ["doc_id"])
-    held = search.top_k(indexes.postings(n).where(F.col("keyword").isin(TERMS)), 3, [F.desc("weight"), F.col("node_id")], ["doc_id", "keyword"])
+    held = search.top_k(indexes.postings(n, only=TERMS), 3, [F.desc("weight"), F.col("node_id")], ["doc_id", "keyword"])
     parts = [
         found.select("doc_id", "node_id", evidence.search_scores(found).alias("score"), F.lit("search").alias("why"), F.lit(0).alias("place")),
         held.select("doc_id", "node_id", F.col("weight").alias("score"), F.concat(F.lit("kw:"), "keyword").alias("why"), F.lit(1).alias("place")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from ..functions.text import token_estimate
 
 
@@ -71,6 +72,89 @@ def toc_detection(pages: DataFrame) -> DataFrame:
     return g.select("doc_id", (F.col("n") > 0).alias("found"), "confidence", F.when(F.col("confidence") >= 0.6, "toc_with_pages").when(F.col("n") > 0, "toc_without_pages").otherwise("no_toc").alias("mode"))
 
 
+#: A line of a table of contents: an optional number, a title, leaders or space, a page.
+ENTRY = r"^\s*((?:[0-9]+(?:\.[0-9]+)*\.?(?=\s)|(?:[Cc]hapter|[Ss]ection|[Pp]art)\s+[0-9]+(?:\.[0-9]+)*[.:]?)?)\s*(.*?\S)(?:\s*[.…·]{2,}\s*|\s{2,}|\t)([0-9]{1,4})\s*$"
+
+
+def toc_entries(pages: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Entries (doc_id, seq, level, title, toc_page, physical_page) in the text of the pages that look like contents.
+
+    An entry's level is the depth of its number, 1 without one. No physical page is known yet.
+    """
+    scores = toc_scores(pages) if scores is None else scores
+    found = pages.join(scores.where("score > 0.5").select("doc_id", "number"), ["doc_id", "number"])
+    lines = found.select("doc_id", "number", F.posexplode(F.split("text", "\n")).alias("k", "line")).where(F.rlike("line", F.lit(ENTRY)))
+    part = lambda i: F.regexp_extract("line", ENTRY, i)
+    number = F.regexp_extract(part(1), r"([0-9]+(?:\.[0-9]+)*)", 1)
+    level = F.when(number == "", 1).otherwise(F.least(F.size(F.split(number, r"\.")), F.lit(6)))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "k"))
+    return lines.select("doc_id", seq.alias("seq"), level.cast("int").alias("level"), part(2).alias("title"), part(3).cast("int").alias("toc_page"), F.lit(None).cast("int").alias("physical_page"))
+
+
+def entries_by_model(text: str, complete, rounds: int = 3) -> list[dict]:
+    """Entries (level, title, page) that a model reads out of the text of a table of contents; it is asked to go on until it says that all are there."""
+    from ..plans.llm import extract_json
+
+    out: list[dict] = []
+    for _ in range(rounds):
+        got = extract_json(complete(f"List the entries as JSON {{complete, entries: [{{level, title, page}}]}}. Already listed: {[e['title'] for e in out]}\n{text}"))
+        known = {e["title"] for e in out}
+        new = got.get("entries", []) if isinstance(got, dict) else got
+        out += [{"level": int(e.get("level") or 1), "title": str(e["title"]), "page": e.get("page")} for e in new if e.get("title") and e["title"] not in known]
+        if not isinstance(got, dict) or got.get("complete", True) or not new:
+            break
+    return out
+
+
+def located(entries: DataFrame, pages: DataFrame, scores: DataFrame) -> DataFrame:
+    """Entries with the first page that holds their title, pages of contents left out: anchors where no page is known."""
+    text = pages.join(scores.where("score > 0.5").select("doc_id", "number"), ["doc_id", "number"], "left_anti")
+    hits = entries.select("doc_id", "seq", "title").join(text, "doc_id").where(F.lower("text").contains(F.lower("title")))
+    first = hits.groupBy("doc_id", "seq").agg(F.min("number").alias("at"))
+    return entries.join(first, ["doc_id", "seq"], "left").withColumn("physical_page", F.coalesce("physical_page", "at")).drop("at")
+
+
+def refined(entries: DataFrame, pages: DataFrame, most_pages: int = 30, most_tokens: int = 20000) -> DataFrame:
+    """Entries with sub-entries for the page groups of the too large ones, a level deeper, numbered anew in order."""
+    big = oversized_entries(entries, pages, most_pages, most_tokens)
+    inner = pages.join(big.select("doc_id", F.col("seq").alias("of"), "physical_page", "last_page"), "doc_id").where("number between physical_page and last_page")
+    # groups are made per document: give each entry's pages a document of its own
+    own = inner.select(F.struct("doc_id", "of").alias("doc_id"), "number", "text")
+    parts = page_groups(own, most_tokens).where("group > 0").select("doc_id.*", "group", "first_page", "last_page")
+    parts = parts.join(entries.select("doc_id", F.col("seq").alias("of"), "level", "title"), ["doc_id", "of"])
+    title = F.concat("title", F.lit(" (pages "), F.col("first_page").cast("string"), F.lit("–"), F.col("last_page").cast("string"), F.lit(")"))
+    new = parts.select("doc_id", F.col("of").alias("seq"), F.col("group").alias("sub"), F.least(F.col("level") + 1, F.lit(6)).alias("level"), title.alias("title"), F.col("first_page").alias("physical_page"))
+    both = entries.select("doc_id", "seq", F.lit(0).alias("sub"), "level", "title", "physical_page").unionByName(new)
+    return both.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "sub"))).drop("sub")
+
+
+def paged_nodes(pages: DataFrame, least_accuracy: float = 0.6, refine: bool = True) -> DataFrame:
+    """Raw nodes of paged text (doc_id, number, text), by the best mode that holds per document (column mode).
+
+    toc_with_pages: printed page numbers, set right by the commonest offset to pages that hold the titles, and
+    repaired nearby; toc_without_pages: the pages where the titles stand; no_toc: a node per page. A mode
+    that puts fewer than ``least_accuracy`` of the titles on their pages gives way to the next.
+    """
+    pages = cut(pages, "pages")
+    scores = cut(toc_scores(pages), "toc")
+    printed = cut(toc_entries(pages, scores), "entries")
+    anchors = cut(located(printed, pages, scores), "anchors")
+    ways = {"toc_with_pages": repair_entries(assign_pages(printed, page_offset(anchors)).where("physical_page is not null"), pages), "toc_without_pages": anchors.where("physical_page is not null")}
+    asked = printed.groupBy("doc_id").agg(F.count("*").alias("asked"))
+    left, out = pages.select("doc_id").distinct(), None
+    for mode, entries in ways.items():
+        entries = cut(entries.join(left, "doc_id", "left_semi").select("doc_id", "seq", "level", "title", "physical_page"), mode)
+        good = verify_entries(entries, pages).join(asked, "doc_id").where(F.col("correct") >= least_accuracy * F.col("asked")).select("doc_id")
+        good = cut(good, "good")
+        kept = entries.join(good, "doc_id", "left_semi")
+        kept = refined(kept, pages) if refine else kept
+        part = toc_nodes(kept, pages).select("doc_id", "seq", "level", "title", "content", "start_page", F.lit(mode).alias("mode"))
+        out = part if out is None else out.unionByName(part)
+        left = left.join(good, "doc_id", "left_anti")
+    rest = page_nodes(pages.join(left, "doc_id", "left_semi")).select("doc_id", "seq", "level", "title", "content", "start_page", F.lit("no_toc").alias("mode"))
+    return out.unionByName(rest)
+
+
 def page_offset(entries: DataFrame) -> DataFrame:
     """(doc_id, page_offset, confidence): the commonest difference of physical and printed page, and the share that has it."""
     d = entries.where("toc_page is not null and physical_page is not null").groupBy("doc_id", (F.col("physical_page") - F.col("toc_page")).alias("page_offset")).agg(F.count("*").alias("n"))
