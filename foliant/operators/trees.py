@@ -334,3 +334,11 @@ def toc_from(nodes: DataFrame, node_id: int, max_depth: int | None = None) -> Da
 def tree_counts(nodes: DataFrame) -> DataFrame:
     """(doc_id, n_nodes, n_leaves, n_sections, max_depth) of whole trees; sections are all nodes, the root too."""
     return nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if("is_leaf").alias("n_leaves"), F.count_if(~F.col("is_leaf")).alias("n_inner"), F.max("depth").alias("max_depth"))
+
+
+def breadcrumbs(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, path): the titles from the root down to each node, parted by " / "."""
+    a = ancestors(nodes).join(nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("title").alias("t")), ["doc_id", "ancestor_id"])
+    up = a.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "t"))).alias("u"))
+    own = nodes.select("doc_id", "node_id", "title").join(up, ["doc_id", "node_id"], "left")
+    return own.select("doc_id", "node_id", F.concat_ws(" / ", F.transform("u", lambda x: x["t"]), "title").alias("path"))

@@ -232,22 +232,21 @@ def empty_nodes(spark, sf_dir):
     return trees.mark_empty(nodes(spark, sf_dir))
 
 
-@query()
+@query(r"""WITH big AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE ceil(strlen(text) / 4.0) > 500),
+h AS (SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, '#'))) > 0 AS headed, [{'done': []::VARCHAR[], 'now': x} FOR x IN l] AS l FROM big),
+f AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN (strlen(a.now) >= 1000 AND CASE WHEN headed THEN starts_with(x.now, '#') ELSE trim(x.now) = '' END) OR (strlen(a.now) + strlen(x.now) > 2000 AND strlen(a.now) > 0)
+  THEN {'done': list_append(a.done, a.now), 'now': x.now} ELSE {'done': a.done, 'now': CASE WHEN strlen(a.now) = 0 THEN x.now ELSE a.now || chr(10) || x.now END} END) AS a FROM h),
+c AS (SELECT doc_id, list_append(a.done, a.now) AS parts FROM f), p AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS part, parts FROM c),
+q AS (SELECT doc_id, part::INT AS part, trim(regexp_replace(parts[part], '^\s+|\s+$', '', 'g')) AS content FROM p)
+SELECT doc_id, 1 AS node_id, part, CASE WHEN starts_with(content, '#') THEN trim(regexp_replace(string_split(content, chr(10))[1], '^#+', '')) ELSE 'doc ' || doc_id || ' (part ' || part || ')' END AS title, content FROM q WHERE content <> ''""")
 def split_leaves(spark, sf_dir):
-    """Whole documents as leaves, cut into parts of about 500 tokens (an ordered fold, no SQL form)."""
+    """Whole documents as leaves, cut into parts of about 500 tokens: an ordered fold."""
     d = docs(spark, sf_dir).select("doc_id", F.lit(1).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(1).alias("last_desc"), F.lit(0).alias("depth"), F.lit("").alias("structure"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.lit(True).alias("is_leaf"))
     return trees.split_leaves(d, 500)
 
 
-@query(f"WITH {SQL_NODES} SELECT doc_id, node_id, parent_id, depth, structure, title, content FROM nodes WHERE depth < 2")
-def structure_json(spark, sf_dir):
-    """The JSON export of roots and blocks read back; structure_json_all has the leaves too."""
-    j = trees.structure_json(nodes(spark, sf_dir).where("depth < 2"))
-    return j.select("doc_id", F.from_json("json", "node_id int, parent_id int, depth int, structure string, title string, content string").alias("j")).select("doc_id", "j.*")
-
-
 @query(f"WITH {SQL_NODES} SELECT doc_id, node_id, parent_id, depth, structure, title, content FROM nodes")
-def structure_json_all(spark, sf_dir):
+def structure_json(spark, sf_dir):
     """The JSON export of every node read back."""
     j = trees.structure_json(nodes(spark, sf_dir))
     return j.select("doc_id", F.from_json("json", "node_id int, parent_id int, depth int, structure string, title string, content string").alias("j")).select("doc_id", "j.*")
@@ -447,9 +446,12 @@ def _evidence(spark, sf_dir):
     return n.select(F.col("doc_id").alias("ask"), F.col("node_id").alias("seq"), F.col("structure").alias("source_path"), F.col("title").alias("node_title"), "content", F.lit("d").alias("doc_name"))
 
 
-@query()
+@query(f"""WITH {SQL_NODES}, e AS (SELECT doc_id AS ask, node_id AS seq, structure AS source_path, list_distinct({sql_words('lower(content)')}) AS ws FROM nodes WHERE is_leaf AND length(trim(content)) >= 50),
+l AS (SELECT ask, list([{{'seq': seq, 'source_path': source_path, 'ws': ws}}] ORDER BY seq) AS l FROM e GROUP BY ask),
+k AS (SELECT ask, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: len(list_intersect(y.ws, x[1].ws)) >= 0.8 * (len(y.ws) + len(x[1].ws) - len(list_intersect(y.ws, x[1].ws))))) > 0 THEN a ELSE list_concat(a, x) END)) AS k FROM l)
+SELECT ask, k.seq AS seq, k.source_path AS source_path FROM k""")
 def evidence_dedup(spark, sf_dir):
-    """All three stages; what stays depends on what stayed before, which has no SQL form."""
+    """All three stages; what stays depends on what stayed before."""
     return evidence.dedup_evidence(_evidence(spark, sf_dir), "ask").select("ask", "seq", "source_path")
 
 
@@ -698,7 +700,11 @@ def md_sections(spark, sf_dir):
     return markdown.markdown_nodes(d).select("doc_id", "seq", "level", "title", "content")
 
 
-@query("SELECT * FROM (VALUES (1, NULL, NULL), (2, 'My Document', 'A test document'), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL)) t(doc_id, front_title, front_description)")
+_sql_markdown = "m(doc_id, markdown) AS (VALUES " + ", ".join("({}, '{}')".format(a, b.replace("\n", "' || chr(10) || '")) for a, b in MARKDOWN) + ")"
+
+
+@query(rf"""WITH {_sql_markdown}, f AS (SELECT doc_id, regexp_extract(markdown, '(?s)^---\n(.*?)\n---', 1) AS f FROM m)
+SELECT doc_id, nullif(trim(regexp_extract(f, '(?m)^title:(.*)$', 1), ' "'), '') AS front_title, nullif(trim(regexp_extract(f, '(?m)^description:(.*)$', 1), ' "'), '') AS front_description FROM f""")
 def frontmatter(spark, sf_dir):
     return markdown.frontmatter(spark.createDataFrame(MARKDOWN, "doc_id int, markdown string")).drop("markdown")
 
@@ -821,15 +827,25 @@ ASKED = [(1, "doc1", "factual", ["total", "revenue", "2025"]), (2, "doc1", "fact
 _cache_schema = "doc_id string, intent string, keywords array<string>, node_ids array<string>, confidence double, hits int"
 
 
-@query("SELECT * FROM (VALUES (1, 'doc1', 'n4|n7', 0.85::DOUBLE), (5, 'doc2', 'n2', 0.9::DOUBLE)) t(ask_id, doc_id, node_ids, confidence)")
+_sql_cache = "c(doc_id, intent, keywords, node_ids, confidence, hits) AS (VALUES " + ", ".join(f"('{d}', '{i}', {k}, {n}, {c}::DOUBLE, {h})" for d, i, k, n, c, h in CACHE) + ")"
+_sql_asked = "a(ask_id, doc_id, intent, keywords) AS (VALUES " + ", ".join(f"({a}, '{d}', '{i}', {k})" for a, d, i, k in ASKED) + ")"
+
+
+@query(f"""WITH {_sql_cache}, {_sql_asked}, j AS (SELECT ask_id, a.doc_id, node_ids, confidence, hits, len(list_intersect(a.keywords, c.keywords)) / len(list_distinct(a.keywords || c.keywords)) AS j FROM a JOIN c USING (doc_id, intent) WHERE confidence >= 0.7)
+SELECT ask_id, doc_id, array_to_string(node_ids, '|') AS node_ids, confidence FROM j WHERE j >= 0.8 QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY j DESC, confidence DESC, hits DESC) = 1""")
 def route_cache_lookup(spark, sf_dir):
     c, a = spark.createDataFrame(CACHE, _cache_schema), spark.createDataFrame(ASKED, "ask_id int, doc_id string, intent string, keywords array<string>")
     return evidence.cache_lookup(c, a).withColumn("node_ids", F.array_join("node_ids", "|"))
 
 
-@query("SELECT * FROM (VALUES ('doc1', 'factual', '2025|revenue|total', 'n9', 0.95::DOUBLE, 4), ('doc1', 'factual', 'cost|total', 'n1', 0.6::DOUBLE, 1), ('doc2', 'summary', 'overview', 'n2', 0.9::DOUBLE, 2)) t(doc_id, intent, keywords, node_ids, confidence, hits)")
+TAKEN = [("doc1", "factual", ["total", "revenue", "2025"], ["n9"], 0.95), ("doc2", "summary", ["overview"], ["n3"], 0.5)]
+_sql_taken = "n(doc_id, intent, keywords, node_ids, confidence) AS (VALUES " + ", ".join(f"('{d}', '{i}', {k}, {n}, {c}::DOUBLE)" for d, i, k, n, c in TAKEN) + ")"
+
+
+@query(f"""WITH {_sql_cache}, {_sql_taken}, b AS (SELECT doc_id, intent, list_sort(keywords) AS keywords, node_ids, confidence, hits, 0 AS new FROM c UNION ALL SELECT doc_id, intent, list_sort(keywords), node_ids, confidence, 1, 1 FROM n)
+SELECT doc_id, intent, array_to_string(keywords, '|') AS keywords, array_to_string(arg_max(node_ids, (confidence, new)), '|') AS node_ids, max(confidence) AS confidence, sum(hits)::INT AS hits FROM b GROUP BY doc_id, intent, b.keywords""")
 def route_cache_record(spark, sf_dir):
-    new = spark.createDataFrame([("doc1", "factual", ["total", "revenue", "2025"], ["n9"], 0.95), ("doc2", "summary", ["overview"], ["n3"], 0.5)], "doc_id string, intent string, keywords array<string>, node_ids array<string>, confidence double")
+    new = spark.createDataFrame(TAKEN, "doc_id string, intent string, keywords array<string>, node_ids array<string>, confidence double")
     r = evidence.cache_record(spark.createDataFrame(CACHE, _cache_schema), new)
     return r.withColumn("keywords", F.array_join("keywords", "|")).withColumn("node_ids", F.array_join("node_ids", "|"))
 

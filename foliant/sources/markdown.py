@@ -1,8 +1,8 @@
 """Markdown and frontmatter to raw nodes, by windows over lines.
 
-ATX headings outside code fences open a section; fenced blocks stay text (or are left out); text before
+ATX headings, and lines underlined by = or -, open a section outside code fences; fenced blocks stay text (or are left out); text before
 the first heading joins the first section, or is one section "Introduction" of level 0 if there is no
-heading. Blocks keep their blank lines, so paragraphs and lists stay apart. Setext headings are text.
+heading. Blocks keep their blank lines, so paragraphs and lists stay apart.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ class MarkdownConfig:
     def gfm() -> MarkdownConfig:
         return MarkdownConfig()
 
+    @staticmethod
+    def commonmark() -> MarkdownConfig:
+        """The same sections: what the flavours differ in (tables, strikethrough, task lists) stays text here."""
+        return MarkdownConfig()
+
     @staticmethod
     def documentation(max_level: int = 3) -> MarkdownConfig:
         return MarkdownConfig(max_level=min(6, max(1, max_level)))
@@ -53,9 +58,18 @@ def markdown_nodes(docs: DataFrame, config: MarkdownConfig = MarkdownConfig(), c
     lines = docs.where(F.trim(F.coalesce(column, F.lit(""))) != "").select("doc_id", F.posexplode(F.split(F.regexp_replace(column, "\r\n", "\n"), "\n")).alias("k", "line"))
     fence = F.rlike("line", F.lit(r"^ {0,3}(```|~~~)"))
     d = lines.withColumn("fence", fence.cast("int")).withColumn("open", (F.sum("fence").over(w) - F.col("fence")) % 2 == 1)
-    level = F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
-    head = ~F.col("open") & (F.col("fence") == 0) & level.between(config.min_level, config.max_level)
-    d = d.withColumn("level", F.when(head, level)).withColumn("sec", F.sum(F.col("level").isNotNull().cast("int")).over(w))
+    by_line = Window.partitionBy("doc_id").orderBy("k")
+    plain = ~F.col("open") & (F.col("fence") == 0)
+    under = F.regexp_extract(F.coalesce(F.lead("line").over(by_line), F.lit("")), r"^ {0,3}(=+|-+)[ \t]*$", 1)
+    # one line of a paragraph with a line of = or - below it
+    text_line = F.rlike("line", F.lit(r"^ {0,3}[^\s#>|=\-]")) & ~F.rlike("line", F.lit(r"^ {0,3}([-*+]|[0-9]+[.)])[ \t]"))
+    setext = F.when(plain & (under != "") & text_line & (F.trim(F.coalesce(F.lag("line").over(by_line), F.lit(""))) == ""), F.when(under.startswith("="), 1).otherwise(2))
+    atx = F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
+    d = d.withColumn("setext", F.when(setext.between(config.min_level, config.max_level), setext))
+    level = F.coalesce("setext", atx)
+    head = plain & level.between(config.min_level, config.max_level)
+    d = d.withColumn("level", F.when(head, level)).withColumn("line", F.when(F.lag("setext").over(by_line).isNotNull(), "").otherwise(F.col("line")))
+    d = d.withColumn("sec", F.sum(F.col("level").isNotNull().cast("int")).over(w))
     if not config.keep_code:
         d = d.where("not open and fence = 0")
     title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}[ \t]*", ""), r"[ \t]+#+[ \t]*$", ""), "`[^`]*`", ""))

@@ -73,7 +73,7 @@ def toc_detection(pages: DataFrame) -> DataFrame:
 
 
 #: A line of a table of contents: an optional number, a title, leaders or space, a page.
-ENTRY = r"^\s*((?:[0-9]+(?:\.[0-9]+)*\.?(?=\s)|(?:[Cc]hapter|[Ss]ection|[Pp]art)\s+[0-9]+(?:\.[0-9]+)*[.:]?)?)\s*(.*?\S)(?:\s*[.…·]{2,}\s*|\s{2,}|\t)([0-9]{1,4})\s*$"
+ENTRY = r"^\s*((?:[0-9]+(?:\.[0-9]+)*\.?\s+|(?:[Cc]hapter|[Ss]ection|[Pp]art)\s+[0-9]+(?:\.[0-9]+)*[.:]?\s+)?)(.*?\S)(?:\s*[.…·]{2,}\s*|\s{2,}|\t)([0-9]{1,4})\s*$"
 
 
 def toc_entries(pages: DataFrame, scores: DataFrame | None = None) -> DataFrame:
