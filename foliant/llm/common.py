@@ -2,61 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut, folders, release, shared_dir, tables
+
+__all__ = ["WHITE", "WORD", "batches", "components", "cut", "folders", "parts", "release", "shared_dir", "stay", "tables", "tidy"]
+
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 WHITE = r"[\x20\x09-\x0D]"
 #: A word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]++"
 
-_own_dir: list[str] = []
-#: What operators have written, for ``release``.
-_tables: list[str] = []
-_folders: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset and the master is local, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        path = tempfile.mkdtemp(prefix="foliant-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own_dir.append("file://" + path)
-    return _own_dir[0]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a short lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _folders.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Drops the tables and deletes the folders that operators have written in this process; call it once their results are no longer read."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    jvm = spark.sparkContext._jvm
-    while _folders:
-        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds the rows of an Arrow batch, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -94,8 +56,8 @@ def stay(df: DataFrame, name: str) -> DataFrame:
     key = f"foliant_{name}_{uuid.uuid4().hex}"
     rows = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("idx"), F.struct(*[df[c] for c in df.columns]).alias("row"))
     rows.write.bucketBy(max(1, min(4096, parts(spark))), "part").option("path", f"{shared_dir(spark)}/foliant/{key}").saveAsTable(key)
-    _tables.append(key)
-    _folders.append(f"{shared_dir(spark)}/foliant/{key}")
+    tables.append(key)
+    folders.append(f"{shared_dir(spark)}/foliant/{key}")
     return spark.table(key)
 
 

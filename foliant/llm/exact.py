@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _folders, _tables, batches, parts, shared_dir
+from .common import batches, folders, parts, shared_dir, tables
 
 #: Fingerprints that one owner gets, about.
 OWNED = 1 << 20
@@ -126,8 +126,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_senders, "part int, idx long, doc_id long, n_cp long, fp long, sha string, norm binary")
     n, key = max(1, min(4096, parts(spark))), uuid.uuid4().hex
     rows.write.bucketBy(n, "part").option("path", f"{shared_dir(spark)}/foliant/{key}-senders").saveAsTable(f"foliant_senders_{key}")
-    _tables.append(f"foliant_senders_{key}")
-    _folders.append(f"{shared_dir(spark)}/foliant/{key}-senders")
+    tables.append(f"foliant_senders_{key}")
+    folders.append(f"{shared_dir(spark)}/foliant/{key}-senders")
     table = spark.table(f"foliant_senders_{key}")
 
     owners = max(n, -(-table.count() // OWNED))

@@ -58,6 +58,44 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_documents(spark, sf_dir))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the fixed patterns alone, which SQL can express."""
+    return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the fixed patterns alone, which SQL can express."""
+    return op10_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, (2 * p + 1)::BIGINT, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, g, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY doc_id, g),
+k AS (SELECT s.doc_id, s.a, s.z, coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS b FROM s),
+c AS (SELECT k.doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(substr(x, (2 * b + 1)::BIGINT, (2 * (a - b))::BIGINT), '' ORDER BY a) || substr(any_value(x), (2 * max(z) + 1)::BIGINT) AS kept
+  FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+BASE_SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d
+"""
+
+BASE_PERSONAL_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 0) > 255)) = 0)) AS n_ip,
+  [reverse(regexp_replace(x, '[^0-9]', '', 'g')) FOR x IN regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] AS cards,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15)) AS n_phone FROM d)
+SELECT doc_id, n_email, n_ip, len(list_filter(cards, lambda c: length(c) BETWEEN 16 AND 19
+  AND list_sum([CASE WHEN i % 2 = 1 THEN c[i]::INT WHEN c[i]::INT > 4 THEN 2 * c[i]::INT - 9 ELSE 2 * c[i]::INT END FOR i IN range(1, length(c) + 1)]) % 10 = 0)) AS n_card, n_phone FROM m
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
 r AS (SELECT doc_id, n, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, row_number() OVER w AS k
@@ -69,8 +107,8 @@ OP7_SQL = mixing.MIX_SQL.replace("AS taken,\n  (whole + CASE WHEN pi > 0 AND 2 *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_nearest_neighbours, op4_substring_dedup, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_best_fit_packing, op9_secret_scan, op10_personal_data)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_nearest_neighbours, op4_substring_dedup, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_best_fit_packing, op9_secret_scan, op10_personal_data, base_secrets, base_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.LINES_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "base_secrets": BASE_SECRETS_SQL, "base_personal_data": BASE_PERSONAL_SQL, "op5_line_dedup": lines.LINES_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}

@@ -243,11 +243,11 @@ def test_what_operators_wrote_can_be_released(spark):
     from foliant.llm import common
 
     common.cut(spark.range(3).toDF("i"), "x")
-    path = common._folders[-1].removeprefix("file://")
+    path = common.folders[-1].removeprefix("file://")
     import os
 
     assert os.path.isdir(path)
     table = common.stay(spark.range(3).toDF("i"), "y")
     assert table.count() == 3
     common.release(spark)
-    assert not os.path.isdir(path) and not common._tables
+    assert not os.path.isdir(path) and not common.tables
