@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections import OrderedDict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,9 +144,10 @@ class Engine:
             except Exception as e:
                 raise CompileError(str(e)) from e
             context["catalog"] = todo
-            for name in TABLES:
-                if name in context:  # rows of recompiled documents give way, also where they have none now
-                    self.store.upsert(name, context[name], todo.select("doc_id"))
+            with self.store.lock():
+                for name in TABLES:
+                    if name in context:  # rows of recompiled documents give way, also where they have none now
+                        self.store.upsert(name, context[name], todo.select("doc_id"))
             self._changed()
         self.on_event("compiled", n)
         return {"compiled": n, "skipped": total - n}
@@ -236,6 +239,27 @@ class Engine:
             self.store.upsert("route_cache", evidence.cache_record(old, new), new.select("doc_id"))
         return got
 
+    def query_stream(self, query: str, doc_ids: Sequence[int] | None = None) -> Iterator[tuple[str, Any]]:
+        """The events of answering a question as they come; the last is ("answer", the answer) or ("failed", the error)."""
+        events: queue.Queue = queue.Queue()
+
+        def run() -> None:
+            before = self.on_event
+            self.on_event = lambda name, what: (before(name, what), events.put((name, what)))
+            try:
+                events.put(("answer", self.ask(query, doc_ids)))
+            except Exception as e:
+                events.put(("failed", e))
+            finally:
+                self.on_event = before
+
+        threading.Thread(target=run, daemon=True).start()
+        while True:
+            event = events.get()
+            yield event
+            if event[0] in ("answer", "failed"):
+                return
+
     def metrics_report(self) -> dict[str, Any]:
         """Seconds of the last compile's passes, and what asking has cost."""
         passes = dict(self.pipeline.seconds) if self.pipeline else {}

@@ -16,6 +16,7 @@ class Navigator:
         self.tables = {k: t.where(F.col("doc_id") == doc_id) for k, t in tables.items()}
         self.nodes = self.tables["nodes"]
         self.trail, self.history, self.visited, self.evidence = [1], [], {1}, {}
+        self._summaries: dict[int, str] = {}
 
     @property
     def cursor(self) -> int:
@@ -159,6 +160,17 @@ class Navigator:
     def conclusions_from(self, node_id: int | None = None) -> list[int]:
         return sorted({r.conclusion for r in self.tables["chains"].where(F.col("premise") == (node_id or self.cursor)).collect()})
 
+    def summary(self, node_id: int | None = None, complete=None) -> str:
+        """A node's summary; where none was made beforehand, one made now (by ``complete``, else the text's start) and kept."""
+        n = node_id or self.cursor
+        if n not in self._summaries:
+            row = self._node(n)
+            made = (row.summary if row is not None and "summary" in row else "") or ""
+            if row is not None and not made:
+                made = complete(f"{row.title}\n{row.content}") if complete else (row.content or row.title)[:200]
+            self._summaries[n] = made
+        return self._summaries[n]
+
     def counts(self) -> dict[str, int]:
         """How much each index holds of the document."""
         return {name: t.count() for name, t in self.tables.items()}

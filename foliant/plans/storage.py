@@ -9,7 +9,10 @@ each bucket's folder, rows and checksum (a sum of row hashes, whatever the rows'
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,11 @@ class CorruptTableError(ValueError):
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    #: How a manifest of an older format becomes one of a newer: (from, to) -> function of the manifest.
+    migrations: dict[tuple[int, int], Callable[[dict], dict]] = {}
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, codec: str = "snappy"):
+        self.spark, self.folder, self.buckets, self.codec = spark, folder.rstrip("/"), buckets, codec
 
     # files
 
@@ -44,10 +50,44 @@ class TableStore:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        m = json.loads(text)
-        if m["format"] != FORMAT:
-            raise CorruptTableError(f"{name} has format {m['format']}, not {FORMAT}")
-        return m
+        return self._migrated(name, json.loads(text))
+
+    def _migrated(self, name: str, m: dict) -> dict:
+        """A manifest brought to this format by the fewest migrations that lead there."""
+        ways = [[m["format"]]]
+        for way in ways:
+            if way[-1] == FORMAT:
+                for step in zip(way, way[1:], strict=False):
+                    m = self.migrations[step](m) | {"format": step[1]}
+                return m
+            ways += [[*way, b] for a, b in self.migrations if a == way[-1] and b not in way]
+        raise CorruptTableError(f"{name} has format {m['format']}, not {FORMAT}")
+
+    @contextmanager
+    def lock(self, patience: float = 10.0, stale: float = 600.0) -> Iterator[None]:
+        """Only one writer at a time: a file that one can create; one left behind for ``stale`` seconds counts for nothing."""
+        fs, path, until = self._fs(), self._path("_lock"), time.time() + patience
+        while not self._create(fs, path):
+            if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale:
+                fs.delete(path, False)
+            elif time.time() > until:
+                raise TimeoutError(f"{self.folder} is locked")
+            else:
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    @staticmethod
+    def _create(fs, path) -> bool:
+        if fs.exists(path):
+            return False
+        try:
+            fs.create(path, False).close()
+        except Exception:  # another came first
+            return False
+        return True
 
     def _put_manifest(self, name: str, m: dict) -> None:
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
@@ -112,7 +152,7 @@ class TableStore:
         m = self._manifest(name) if changed is not None else None
         folder = f"v-{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}/{folder}"
-        df.withColumn("_bucket", self._bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        df.withColumn("_bucket", self._bucket(key)).repartition("_bucket").write.option("compression", self.codec).partitionBy("_bucket").parquet(path)
         written = self.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(path)
         sums = {str(r["_bucket"]): {"folder": f"{folder}/_bucket={r['_bucket']}", "rows": r["rows"], "checksum": r["checksum"]} for r in self._sums(written)}
         kept = {b: v for b, v in (m["buckets"] if m else {}).items() if b not in (changed or [])}

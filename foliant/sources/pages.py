@@ -168,8 +168,11 @@ def assign_pages(entries: DataFrame, offsets: DataFrame) -> DataFrame:
     return entries.join(offsets.select("doc_id", "page_offset"), "doc_id", "left").withColumn("physical_page", F.coalesce("physical_page", F.col("toc_page") + F.col("page_offset"))).drop("page_offset")
 
 
-def verify_entries(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, correct, total, accuracy): entries whose title stands on their page."""
+def verify_entries(entries: DataFrame, pages: DataFrame, sample: int | None = None) -> DataFrame:
+    """(doc_id, correct, total, accuracy): entries whose title stands on their page, of all or of ``sample`` of a document's, chosen by hash."""
+    if sample is not None:
+        r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("seq", "title"), "seq"))
+        entries = entries.withColumn("_r", r).where(F.col("_r") <= sample).drop("_r")
     e = entries.join(pages.select("doc_id", F.col("number").alias("physical_page"), "text"), ["doc_id", "physical_page"], "left")
     ok = F.coalesce(F.lower("text").contains(F.lower("title")), F.lit(False))
     return e.groupBy("doc_id").agg(F.count_if(ok).alias("correct"), F.count("*").alias("total"), F.avg(ok.cast("double")).alias("accuracy"))

@@ -37,6 +37,14 @@ def test_tables_are_replaced_in_part_and_at_once(spark, tmp_path):
     s._put_manifest("u", m | {"format": 99})
     with pytest.raises(CorruptTableError):
         s.read("u")
+    s.migrations = {(98, 1): lambda m: m, (99, 98): lambda m: m | {"old": True}}
+    assert s.read("u").count() == 5 and s._manifest("u")["old"]
+    with s.lock():
+        with pytest.raises(TimeoutError):
+            with s.lock(patience=0):
+                pass
+    with s.lock(patience=0):
+        pass
     s.clear()
     assert s.names() == []
 
@@ -212,7 +220,9 @@ def test_asking_with_and_without_a_model(spark, tmp_path):
     assert n.cd_by_title("staff") and n.info()["sections"] == 4 and n.node_routing(2).tags and "Finance" in n.topic_summary("revenue")
     assert n.concept_routes(n.node_routing(2).tags[0]) and n.intent_routes() == [] and n.premises_from(2) == n.conclusions_from(2) == []
     assert len(n.toc_from(1, 1)) == 4 and n.collect_evidence(2)[0]["node_title"] == "Finance" and n.counts()["nodes"] == 4 and not n.has_overlap(2) and n.grep_node("four", 2)
-    assert e.load_document(doc) is n
+    assert e.load_document(doc) is n and n.summary(2) == n.summary(2) != ""
+    told = [name for name, _ in e.query_stream("What was the total revenue?")]
+    assert told[0] == "analysed" and told[-1] == "answer"
 
     m = Scripted(Which_of_these_documents="- doc: 1\n  reason: r", Which_of_these_sections="2, 1", Do_these="yes", Answer_from='{"answer": "four billion", "confidence": 1.7}', What_is_missing="NONE")
     t = Tables(e.table("nodes"), e.table("postings"), e.table("evidence_scores"), e.table("intent_routes"), e.table("concept_routes"), e.table("doc_cards"))
