@@ -233,7 +233,6 @@ def repeated_starts(group: np.ndarray, ctx: list[bytes], left: np.ndarray, width
     suffixes = [c[a:] for c, a in zip(ctx, left.tolist(), strict=True)]
     g = group.astype(np.int64)
     by = np.array(sorted(range(n), key=lambda i: (g[i], suffixes[i])), np.int64)
-    levels = max(1, int(np.bincount(g).max()).bit_length())
     lcp = np.zeros(n, np.int64)
     for i in range(1, n, 1024):  # common prefixes of neighbours at the last start, from the bytes
         b, a = by[i : i + 1024], by[i - 1 : i - 1 + min(1024, n - i)]
@@ -249,25 +248,28 @@ def repeated_starts(group: np.ndarray, ctx: list[bytes], left: np.ndarray, width
             symbol = np.where(o >= begin, cols[o].astype(np.int64) + 1, 0)
             order = np.argsort((g * 257 + symbol) * n + rank)
             # neighbours with the same byte share one more than all that lay between them did
-            low = [lcp]
-            for k in range(levels - 1):
-                wide = low[k].copy()
-                wide[: -(1 << k)] = np.minimum(wide[: -(1 << k)], low[k][1 << k :])
-                low.append(wide)
             one, two = rank[order[:-1]] + 1, rank[order[1:]]
             ok = (symbol[order[1:]] > 0) & (symbol[order[1:]] == symbol[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
             one, two = one[ok], two[ok]
             k = np.frexp(two - one + 1)[1] - 1
+            low = [lcp]
+            for j in range(int(k.max()) if len(k) else 0):
+                wide = low[j].copy()
+                wide[: -(1 << j)] = np.minimum(wide[: -(1 << j)], low[j][1 << j :])
+                low.append(wide)
             table = np.stack(low)
             lcp = np.zeros(n, np.int64)
             lcp[1:][ok] = 1 + np.minimum(table[k, one], table[k, two - (1 << k) + 1])
             by = order
-        factor, source = longest_previous(place[by], lcp, levels)
-        go = factor >= length
-        if go.any():
+        near = lcp >= length
+        if near.any():  # only suffixes that share a string with a neighbour have a factor of its length
+            held = np.flatnonzero(near | np.append(near[1:], False))
+            longest = int(np.diff(np.flatnonzero(np.concatenate([[True], ~near, [True]]))).max())
+            factor, source = longest_previous(place[by[held]], lcp[held], longest.bit_length())
+            go = factor >= length
             if not keep_first:
-                go[source[factor >= length]] = True
-            marks[o, by] = go
+                go[source[go]] = True
+            marks[o, by[held]] = go
     return marks.T
 
 
@@ -350,7 +352,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     each = facts.where("is_first and size(h) > 0").select("part", "idx", "d", F.explode(F.arrays_zip("pos", "h")).alias("a"))
     each = each.select("part", "idx", "d", F.col("a.pos").alias("pos"), F.col("a.h").alias("h"))
     # counted by partial sums; a hot anchor can be split in the join
-    times = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    times = cut(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "times")
     again = cut(each.join(times, "h").withColumns({"lo": F.lit(0), "hi": F.lit(length - GRAM)}), "again")
     own = facts.where("is_first and size(own) > 0").select("part", "idx", F.explode("own").alias("o")).select("part", "idx", "o.start", "o.end")
     spans, columns = [own], ["part", "idx", "d", "pos", "lo", "hi", "h"]
