@@ -101,7 +101,11 @@ def occurrences(text: Column, part: str) -> Column:
 
 
 def density(text: Column) -> Column:
-    w = words(text)
+    return density_of(words(text))
+
+
+def density_of(w: Column) -> Column:
+    """``density`` of a text's words, for those who have them at hand."""
     return F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_distinct(w)) / F.size(w))
 
 
@@ -121,7 +125,10 @@ def data_richness(text: Column) -> Column:
 
 
 def specificity(text: Column) -> Column:
-    w = words(text)
+    return specificity_of(words(text))
+
+
+def specificity_of(w: Column) -> Column:
     dull = F.size(F.filter(w, lambda x: F.lower(x).isin(*FILLER)))
     return F.when(F.size(w) == 0, 0.0).otherwise(1.0 - F.least(dull / F.size(w), F.lit(0.8)))
 

@@ -21,8 +21,8 @@ def node_fingerprints(nodes: DataFrame) -> DataFrame:
         nodes = nodes.join(of, ["doc_id", "node_id"], "left")
     own = nodes.select("doc_id", "node_id", "parent_id", "depth", "title", fingerprint(F.col("title"), F.col("content")).alias("content_fp"))
     own = cut(own, "own")
-    out, below = None, None
-    for k in range(own.agg(F.max("depth")).first()[0] or 0, -1, -1):
+    out, below, deepest = None, None, own.agg(F.max("depth")).first()[0] or 0
+    for k in range(deepest, -1, -1):
         level = own.where(F.col("depth") == k)
         if below is None:
             level = level.withColumn("subtree_fp", F.sha2("content_fp", 256))
@@ -30,7 +30,7 @@ def node_fingerprints(nodes: DataFrame) -> DataFrame:
             kids = below.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "subtree_fp"))).alias("kids"))
             under = F.array_join(F.transform(F.coalesce("kids", F.array().cast("array<struct<node_id:int,subtree_fp:string>>")), lambda x: x["subtree_fp"]), ",")
             level = level.join(kids, ["doc_id", "node_id"], "left").withColumn("subtree_fp", F.sha2(F.concat_ws(",", "content_fp", F.nullif(under, F.lit(""))), 256)).drop("kids")
-        below = level = cut(level, "level")
+        below = level = cut(level, "level") if 0 < k < deepest else level
         done = level.select("doc_id", "node_id", "title", "content_fp", "subtree_fp")
         out = done if out is None else out.unionByName(done)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import cut
-from ..functions.text import composite, data_richness, density, is_index_term, jaccard, pieces, specificity, word_set
+from ..functions.text import composite, data_richness, density_of, is_index_term, jaccard, pieces, specificity_of, word_set, words
 from .trees import leaf_counts
 
 
@@ -35,7 +35,7 @@ def postings(nodes: DataFrame, max_keywords: int = 5000, max_nodes: int = 20, on
 def _kept(each: DataFrame, max_keywords: int, max_nodes: int) -> DataFrame:
     """Postings of occurrences (doc_id, node_id, depth, keyword, w), each counting once or ``n`` times."""
     n = F.sum("n") if "n" in each.columns else F.count("*")
-    per_node = each.groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), n.alias("n"))
+    per_node = each.repartition("doc_id").groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), n.alias("n"))
     # one shuffle by document serves the totals, the ranks and the cuts
     by_kw = Window.partitionBy("doc_id", "keyword").orderBy(F.desc("w"), "node_id")
     p = per_node.withColumn("r", F.row_number().over(by_kw)).withColumn("most", F.first("w").over(by_kw)).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "keyword")))
@@ -128,7 +128,9 @@ def concept_routes(nodes: DataFrame, per_concept: int = 10, most: int = 50) -> D
 
 def evidence_scores(nodes: DataFrame) -> DataFrame:
     """Density, richness, specificity and their composite of all nodes that have content."""
-    d = nodes.where("content <> ''").select("doc_id", "node_id", density(F.col("content")).alias("density"), data_richness(F.col("content")).alias("data_richness"), specificity(F.col("content")).alias("specificity"))
+    # words are split once: a column that is used often isn't inlined
+    d = nodes.where("content <> ''").select("doc_id", "node_id", "content", words(F.col("content")).alias("w"))
+    d = d.select("doc_id", "node_id", density_of(F.col("w")).alias("density"), data_richness(F.col("content")).alias("data_richness"), specificity_of(F.col("w")).alias("specificity"))
     return d.withColumn("composite", composite(F.col("density"), F.col("data_richness"), F.col("specificity")))
 
 
