@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, parts, tidy
+from .common import batches, cut, tidy
 
 #: Runs that make byte-pair merging slow in tiktoken; texts with one go to tokenizers, which merges by a heap.
 _LONG_RUN = re.compile(r"\S{4096}|\s{4096}")
@@ -251,11 +251,12 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, closing: int = 2, capaci
     batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_pieces(tokenizer, pattern, closing, capacity)), schema), "pieces")
-    n = parts(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
-    by_salt = cut(salted.groupBy("length", "salt").count(), "lengths")
-    counts = {r.length: r.n for r in by_salt.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = plan(counts, capacity, small, groups)
+    # a length is dealt to as many salts as keep each at about STRETCH pieces; the table has at most `capacity` rows
+    salts = spark.createDataFrame([(k, -(-n // STRETCH)) for k, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    by_salt = cut(salted.groupBy("length", "salt").count(), "lengths")
     base = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = by_salt.select("length", "salt", base.alias("base"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
