@@ -19,9 +19,10 @@ WHITE = r"[\x20\x09-\x0D]"
 #: A word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]++"
 
-def batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, since texts can be long."""
+def batches(spark: SparkSession, rows: int = 500, size: int = 1 << 23) -> None:
+    """Bounds the rows and bytes of an Arrow batch, since texts can be long; a longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def tidy(f):

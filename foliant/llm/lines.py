@@ -159,10 +159,10 @@ def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
     distinct = cut(distinct.withColumn("line", F.monotonically_increasing_id()), "distinct")
     suspects = _shared(distinct.select("line", F.explode("keys").alias("key"))).select("line").distinct()
     marked = distinct.select("line", "at").join(suspects, "line", "left_semi").groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "line")).alias("marked"))
+    batches(table.sparkSession, 10_000)  # rows are keys; texts are bounded by their bytes
     texts = cut(table.select("part", "idx", F.col("row.text").cast("string").alias("text")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
     # (line, text) of the suspects, for the edit distance
     own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.line").alias("line"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("said"))
-    batches(table.sparkSession, 10_000)  # rows are keys
     met = cut(_shared(texts.mapInArrow(tidy(_variants), "line long, kind byte, key long")).join(distinct.select("line", "at"), "line").withColumn("who", F.struct("at", "line")), "met")
     batches(table.sparkSession)
     first = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("who"))).alias(f"w{k}") for k in (0, 1, 2)])
