@@ -9,8 +9,9 @@ Equal lines meet by a 128-bit cryptographic digest, and each distinct line gets
 suspects emit all variants within the bound as hashed keys: the line itself, each deletion, and each
 deletion with its place. Two lines meet under a deletion with its place exactly if one substitution
 parts them, and a line meets another's deletion exactly if one insertion does. Keys that only one line
-has are told by their neighbours in key order, over ranges that part even the lines of one key. Per key
-only the earliest line of each kind is kept, by partial minima, never pairs; the text of each line and its earliest mate is then
+has are told by their neighbours in key order; keys that a sample shows to be very common are known to be
+shared, and their rows are dealt out by line. Per key only the earliest line of each kind is kept, by
+partial minima, never pairs; the text of each line and its earliest mate is then
 compared by edit distance.
 
 Defined results: a null text stays null, with 0 lines; a document whose lines all go has an empty
@@ -25,15 +26,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, parts, stay, tidy
+from .common import batches, cut, stay, tidy
 
 WHITE_CHARS = " \t\n\x0b\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64)]
+#: One in so many lines or texts tells which keys are hot.
+SAMPLED = 32
 
 
 def _powers_to(n: int) -> np.ndarray:
@@ -117,34 +120,22 @@ def _variants(record_batches):
             yield batch(parts)
 
 
-def _neighbours(record_batches):
-    """Rows of a sorted range whose key a neighbour has too; the range's first and last row always pass, as neighbours may lie beyond."""
-    held, held_key, held_ok = None, None, False
-    for f in record_batches:
-        n = f.num_rows
-        if not n:
-            continue
-        k = f.column("key").to_numpy()
-        same, ok = k[1:] == k[:-1], np.zeros(n, bool)
-        ok[1:] |= same
-        ok[:-1] |= same
-        if held is None:
-            ok[0] = True
-        else:
-            if held_key == k[0]:
-                held_ok = ok[0] = True
-            if held_ok:
-                yield held
-        held, held_key, held_ok = f.slice(n - 1, 1), k[-1], ok[-1]
-        yield f.slice(0, n - 1).filter(pa.array(ok[:-1]))
-    if held is not None:
-        yield held
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (line, key, …) whose key another row has too, and a few more: one shuffle by ranges of (key, line), so that no key is gathered."""
-    ranges = rows.repartitionByRange(parts(rows.sparkSession), "key", "line").sortWithinPartitions("key", "line")
-    return ranges.mapInArrow(_neighbours, rows.schema)
+def hot_keys(sample: DataFrame, share: float = 1e-4, least: int = 50) -> DataFrame:
+    """Keys that hold the given share of a sample's rows (line, key), and ``least`` rows: at most 1 / ``share`` of them."""
+    total = sample.count()
+    return cut(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, share * total)).select("key"), "hot")
+
+
+def _shared(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (line, key, …) whose key another row has too: one shuffle and a sorted pass that keeps no group.
+
+    Rows of the keys in ``hot`` are shared for certain; they are dealt out by line, so that no key is gathered.
+    """
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("line"), F.lit(4096))).otherwise(0).cast("short")
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "key", "left").withColumn("_salt", salt)  # a bounded table
+    w = Window.partitionBy("key", "_salt").orderBy("line")
+    near = marked.withColumn("_b", F.lag("line").over(w)).withColumn("_a", F.lead("line").over(w))
+    return near.where("_a is not null or _b is not null or _hot").select(rows.columns)
 
 
 def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -157,14 +148,16 @@ def removed_lines(table: DataFrame, min_chars: int = 10) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("no").alias("n"), F.col("part").alias("p"), F.col("idx").alias("i"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.min("keys").alias("keys"))
     distinct = cut(distinct.withColumn("line", F.monotonically_increasing_id()), "distinct")
-    suspects = _shared(distinct.select("line", F.explode("keys").alias("key"))).select("line").distinct()
+    some = F.pmod(F.xxhash64("h1"), F.lit(SAMPLED)) == 0  # where a sample is enough: it only tells which keys are hot
+    halves = distinct.select("line", F.explode("keys").alias("key"))
+    suspects = _shared(halves, hot_keys(distinct.where(some).select("line", F.explode("keys").alias("key")))).select("line").distinct()
     marked = distinct.select("line", "at").join(suspects, "line", "left_semi").groupBy(F.col("at.p").alias("part"), F.col("at.i").alias("idx")).agg(F.collect_list(F.struct(F.col("at.n").alias("no"), "line")).alias("marked"))
-    batches(table.sparkSession, 10_000)  # rows are keys; texts are bounded by their bytes
     texts = cut(table.select("part", "idx", F.col("row.text").cast("string").alias("text")).join(marked, ["part", "idx"]).select("text", "marked"), "marked")
     # (line, text) of the suspects, for the edit distance
     own = texts.select(F.split("text", "\n").alias("l"), F.explode("marked").alias("m")).select(F.col("m.line").alias("line"), F.trim(F.element_at("l", F.col("m.no") + 1), F.lit(WHITE_CHARS)).alias("said"))
-    met = cut(_shared(texts.mapInArrow(tidy(_variants), "line long, kind byte, key long")).join(distinct.select("line", "at"), "line").withColumn("who", F.struct("at", "line")), "met")
-    batches(table.sparkSession)
+    variants = lambda t: t.mapInArrow(tidy(_variants), "line long, kind byte, key long")
+    hot = hot_keys(variants(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)).select("line", "key"))
+    met = cut(_shared(variants(texts), hot).join(distinct.select("line", "at"), "line").withColumn("who", F.struct("at", "line")), "met")
     first = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("who"))).alias(f"w{k}") for k in (0, 1, 2)])
     mate = F.when(F.col("kind") == 0, F.col("w1")).when(F.col("kind") == 1, F.col("w0")).otherwise(F.col("w2"))
     pairs = met.join(first, "key").withColumn("mate", mate).where("mate.at < at").select("line", F.col("mate.line").alias("mate")).distinct()

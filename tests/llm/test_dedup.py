@@ -241,3 +241,13 @@ def test_lines_with_one_very_common_key(spark):
     half = "a very common first half of a line, and then "
     rows = [(i, f"{half}{i:04d}{'x' * 40}\nalone {i} " + "abcdefghij"[i % 10] * 30, None, "s", None, None, None) for i in range(400)]
     assert Counter((x.doc_id, x.text) for x in lines.dedup_lines(frame(spark, rows)).collect()) == brute_lines(rows)
+
+
+def test_lines_whose_keys_count_as_hot(spark, monkeypatch):
+    import functools
+
+    monkeypatch.setattr(lines, "SAMPLED", 1)
+    monkeypatch.setattr(lines, "hot_keys", functools.partial(lines.hot_keys, share=0, least=2))
+    half = "a very common first half of a line, and then "
+    rows = documents() + [(2000 + i, f"{half}{i % 60:04d}{'x' * 40}\nalone {i} " + "abcdefghij"[i % 10] * 30, None, "s", None, None, None) for i in range(120)]
+    assert Counter((x.doc_id, x.text) for x in lines.dedup_lines(frame(spark, rows)).collect()) == brute_lines(rows)
