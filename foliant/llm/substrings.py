@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, parts, stay
+from .common import batches, cut, parts, stay, tidy
 from .lines import mixed
 
 GRAM = 96
@@ -342,7 +342,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     batches(spark)
     table = stay(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts").select("part", "idx", "row.*")
     schema = "part int, idx long, doc_id long, sha string, n_bytes long, pos array<long>, h array<long>, own array<struct<start:long,end:long>>"
-    facts = cut(table.mapInArrow(_prepare(length, keep_first), schema), "anchors")
+    facts = cut(table.mapInArrow(tidy(_prepare(length, keep_first)), schema), "anchors")
     d = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     same = facts.groupBy("sha").agg(F.min(F.struct(d.alias("d"), "part", "idx")).alias("first"), F.count("*").alias("copies"))
     facts = facts.join(same, "sha")
@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     hot = again.where(F.col("times") > block)
     while not hot.isEmpty():  # at most as often as the span of starts can be halved
         schema = "key long, part int, idx long, d long, pos long, lo int, hi int, first int, last int, digest binary"
-        halves = cut(_around(table, hot, "pos", "lo", "hi").mapInArrow(_halves(length), schema), "halves")
+        halves = cut(_around(table, hot, "pos", "lo", "hi").mapInArrow(tidy(_halves(length)), schema), "halves")
         least = F.min(F.struct("d", "part", "idx", "pos", "lo", "hi")).alias("least")
         merged = cut(halves.groupBy("key", "digest").agg(least, F.count("*").alias("alike")), "merged")
         # all strings of members that agree throughout are repeats; their earliest speaks for them from here on
@@ -375,10 +375,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
         hot = left.where(F.col("times") > block)
     members = functools.reduce(DataFrame.unionByName, small)
     context = _around(table, members, "h", "pos", "lo", "hi").mapInArrow(
-        _contexts(length), "h long, part int, idx long, d long, pos long, lo int, hi int, left int, ctx binary"
+        tidy(_contexts(length)), "h long, part int, idx long, d long, pos long, lo int, hi int, left int, ctx binary"
     )
     dealt = context.repartition(parts(spark), "h").sortWithinPartitions("h")
-    spans.append(dealt.mapInPandas(_runs(length, keep_first), "part int, idx long, start long, end long"))
+    spans.append(dealt.mapInPandas(tidy(_runs(length, keep_first)), "part int, idx long, start long, end long"))
     return table, facts, functools.reduce(DataFrame.unionByName, spans)
 
 
@@ -387,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     table, facts, spans = repeated_spans(docs, length, keep_first, block)
     whole = (F.col("n_bytes") >= length) & (F.col("copies") > 1) & (~F.col("is_first") if keep_first else F.lit(True))
     by_row = spans.groupBy("part", "idx").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    part_way = table.select("part", "idx", "text").join(by_row, ["part", "idx"]).mapInArrow(_cut_out, "part int, idx long, removed long, runs long, kept string")
+    part_way = table.select("part", "idx", "text").join(by_row, ["part", "idx"]).mapInArrow(tidy(_cut_out), "part int, idx long, removed long, runs long, kept string")
     # a copy of a text whose first row is judged part way shares its fate only if it doesn't go as a whole
     done = facts.join(part_way, ["part", "idx"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
