@@ -7,6 +7,7 @@ import dataclasses
 import os
 
 from .config import Config
+from .plans.render import answer_text, documents_text, tree_text
 
 
 def size_text(n: float) -> str:
@@ -17,10 +18,6 @@ def size_text(n: float) -> str:
     return f"{n:.1f} TB"
 
 
-def tree_text(rows) -> str:
-    return "\n".join("  " * (r.depth - 1) + f"- {r.title} [{r.node_id}]" for r in rows)
-
-
 def main(args: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="foliant")
     p.add_argument("--workspace", default=Config.load().workspace)
@@ -31,7 +28,9 @@ def main(args: list[str] | None = None, spark=None) -> int:
     sub.add_parser("init")
     for name in ("tree", "remove", "info"):
         sub.add_parser(name).add_argument("doc_id", type=int)
-    sub.add_parser("ask").add_argument("question")
+    q = sub.add_parser("ask")
+    q.add_argument("question")
+    q.add_argument("--json", action="store_true")
     sub.add_parser("query").add_argument("terms")
     c = sub.add_parser("config")
     c.add_argument("key", nargs="?")
@@ -60,8 +59,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     if a.command == "add":
         print(e.compile(paths=a.paths))
     elif a.command == "list":
-        for r in e.list_documents().orderBy("doc_id").toLocalIterator():
-            print(f"{r.doc_id}\t{r.title}\t{r.total_leaves}\t{r.sections}")
+        print(documents_text(e.list_documents().orderBy("doc_id").toLocalIterator()))
     elif a.command == "tree":
         print(tree_text(e.load_document(a.doc_id).toc()))
     elif a.command == "info":
@@ -78,9 +76,9 @@ def main(args: list[str] | None = None, spark=None) -> int:
     elif a.command == "remove":
         print("removed" if e.remove(a.doc_id) else "not found")
     elif a.command == "ask":
-        print(e.ask(a.question).answer)
+        print(answer_text(e.ask(a.question), a.json))
     else:
-        print({"documents": e.table("catalog").count(), "nodes": e.table("nodes").count()})
+        print({"documents": e.store.rows("catalog"), "nodes": e.store.rows("nodes"), "size": size_text(e.store.size())})
     return 0
 
 

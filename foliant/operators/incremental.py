@@ -47,6 +47,13 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("doc_id", "title", change.alias("change")).where("change is not null")
 
 
+def node_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, node_id, content_changed, subtree_changed, only_descendants) of the nodes that both versions have."""
+    o = old.select("doc_id", "node_id", F.col("content_fp").alias("_c"), F.col("subtree_fp").alias("_s"))
+    content, subtree = F.col("content_fp") != F.col("_c"), F.col("subtree_fp") != F.col("_s")
+    return new.join(o, ["doc_id", "node_id"]).select("doc_id", "node_id", content.alias("content_changed"), subtree.alias("subtree_changed"), (subtree & ~content).alias("only_descendants"))
+
+
 def needing_reprocess(old: DataFrame, new: DataFrame, version_changed: bool = False) -> DataFrame:
     """Nodes (doc_id, node_id) of ``new`` whose content or subtree differs, or that are new; all if the version has changed."""
     if version_changed:

@@ -93,6 +93,7 @@ class Engine:
         self.pipeline: Pipeline | None = None
         self.on_event = on_event or (lambda name, what: None)
         self._open: OrderedDict[int, Navigator] = OrderedDict()
+        self.opened = self.reopened = 0
         self.asked: list[dict[str, int]] = []
 
     @classmethod
@@ -205,7 +206,9 @@ class Engine:
 
     def load_document(self, doc_id: int) -> Navigator:
         """A new session; the last ``open_documents`` are kept as they were left."""
+        self.opened += 1
         if doc_id in self._open:
+            self.reopened += 1
             self._open.move_to_end(doc_id)
             return self._open[doc_id]
         if not self.exists(doc_id):
@@ -263,4 +266,4 @@ class Engine:
     def metrics_report(self) -> dict[str, Any]:
         """Seconds of the last compile's passes, and what asking has cost."""
         passes = dict(self.pipeline.seconds) if self.pipeline else {}
-        return {"passes": passes, "compile_seconds": sum(passes.values()), "questions": len(self.asked), **{k: sum(m[k] for m in self.asked) for k in ("llm_calls", "nodes_visited", "evidence")}}
+        return {"passes": passes, "compile_seconds": sum(passes.values()), "open_hit_rate": self.reopened / self.opened if self.opened else 0.0, "questions": len(self.asked), **{k: sum(m[k] for m in self.asked) for k in ("llm_calls", "nodes_visited", "evidence")}}

@@ -178,6 +178,11 @@ class TableStore:
         m = self._manifest(name)
         return sum(b["rows"] for b in m["buckets"].values()) if m else 0
 
+    def size(self) -> int:
+        """Bytes of the workspace, with folders that no manifest names any more."""
+        fs = self._fs()
+        return fs.getContentSummary(self._path()).getLength() if fs.exists(self._path()) else 0
+
     def verify(self, name: str) -> None:
         """Raises if the rows are not those that were written."""
         m = self._manifest(name)

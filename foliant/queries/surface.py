@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.words import QUERY_STOP
 from ..operators import evidence, incremental, indexes, references, search, trees
 from ..plans.ask import cross_find
+from ..plans.llm import rule_analysis
 from ..sources import markdown, pages, readers
 from .catalog import (
-    SQL, SQL_NODES, SQL_POSTINGS, SQL_SCOUT, TERMS, _asked, _entries, _paged, _scout, _sql_entries, _sql_kinds, _sql_pages, _sql_toc, _sql_versions, _tree, _versions, SQL_TOKENS, SQL_TREE, docs, nodes, query, sql_words, table,
+    SQL, SQL_NODES, SQL_POSTINGS, SQL_SCOUT, TERMS, _asked, _entries, _list, _paged, _scout, _sql_entries, _sql_kinds, _sql_pages, _sql_toc, _sql_versions, _tree, _versions, SQL_TOKENS, SQL_TREE, docs, nodes, query, sql_words, table,
 )
 
 # sources
@@ -168,6 +171,22 @@ def cross_document_find(spark, sf_dir):
     return cross_find(indexes.postings(nodes(spark, sf_dir), only=TERMS), TERMS).select("doc_id", "keyword", "node_id", F.round("weight", 6).alias("weight"), "rank")
 
 
+@query(rf"""WITH q AS (SELECT item_id, lower(text) AS q, len(list_distinct(k)) AS n, array_to_string(list_sort(list_distinct(k)), '|') AS keywords FROM
+  (SELECT item_id, text, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains({_list(QUERY_STOP)}, w)) AS k FROM benchmark))
+SELECT item_id, keywords, CASE WHEN contains(q, 'where') THEN 'navigational' WHEN contains(q, 'compare') OR contains(q, 'versus') THEN 'comparative' WHEN contains(q, 'summar') OR contains(q, 'overview') THEN 'summary'
+  WHEN contains(q, 'how to') OR contains(q, 'steps') THEN 'procedural' WHEN contains(q, 'why') OR contains(q, 'explain') THEN 'analytical' ELSE 'factual' END AS intent,
+  CASE WHEN n <= 4 THEN 'simple' WHEN n <= 8 THEN 'moderate' ELSE 'complex' END AS complexity FROM q""")
+def question_analysis(spark, sf_dir):
+    """The items of the benchmark taken as questions and analysed by rules."""
+
+    def read(frames):
+        for f in frames:
+            got = [rule_analysis(t or "") for t in f["text"]]
+            yield pd.DataFrame({"item_id": f["item_id"], "keywords": ["|".join(sorted(a.keywords)) for a in got], "intent": [a.intent for a in got], "complexity": [a.complexity for a in got]})
+
+    return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(read, "item_id long, keywords string, intent string, complexity string")
+
+
 @query(f"WITH {SQL_SCOUT}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id) AS r, max(score) OVER (PARTITION BY doc_id) AS best FROM fused) SELECT doc_id, node_id, round(score, 6) AS score FROM r WHERE r = 1 OR (r = 2 AND best - score <= 0.1)")
 def fast_path_reads(spark, sf_dir):
     return evidence.read_also(_scout(spark, sf_dir), ["doc_id"]).select("doc_id", "node_id", F.round("score", 6).alias("score"))
@@ -209,6 +228,13 @@ def change_counts(spark, sf_dir):
     return c.changes.groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_sql_versions}, b AS (SELECT a.doc_id, a.node_id, a.modified AS c, EXISTS (SELECT 1 FROM ch b WHERE b.doc_id = a.doc_id AND b.node_id BETWEEN a.node_id AND a.last_desc AND b.modified) AS s FROM ch a WHERE NOT a.added)
+SELECT doc_id, node_id, c AS content_changed, s AS subtree_changed, s AND NOT c AS only_descendants FROM b""")
+def node_changes(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return incremental.node_changes(incremental.node_fingerprints(old), incremental.node_fingerprints(new))
+
+
 @query("""SELECT doc_id FROM documents WHERE doc_id % 6 <> 1 OR doc_id % 10 = 7""")
 def detector_needs(spark, sf_dir):
     """Documents to compile again: two thirds and more have no state, or one of other content."""

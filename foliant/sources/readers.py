@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .code import code_nodes
 from .markdown import frontmatter, markdown_nodes
+from .office import docx, latex
 from .pages import html_nodes, paged_nodes
 from .pdf import pdf_pages
 
 EXTENSIONS = ("md", "markdown", "pdf")
+#: Kinds of files whose bytes are no text.
+BINARY = ("pdf", "docx")
 Parser = Callable[[DataFrame], DataFrame]
 _parsers: dict[str, Parser] = {}
 
@@ -32,6 +35,8 @@ def parser_for(extension: str) -> Parser:
 register_parser("md", lambda files: markdown_nodes(frontmatter(files.withColumnRenamed("text", "markdown"))))
 register_parser("markdown", lambda files: parser_for("md")(files))
 register_parser("pdf", lambda files: paged_nodes(pdf_pages(files)))
+register_parser("docx", docx)
+register_parser("tex", latex)
 for _ext in ("py", "js", "ts", "java", "go", "rs", "c", "cpp", "h"):
     register_parser(_ext, code_nodes)
 register_parser("html", lambda files: html_nodes(files.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))))
@@ -71,7 +76,7 @@ def source(spark: SparkSession, *, path: str | None = None, paths: Sequence[str]
     found = validated(files(spark, [path] if path else [directory] if directory else list(paths), recursive, extensions)).where("problem is null")
     if clash := found.groupBy("doc_id").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").first():
         raise ValueError(f"{clash.a} and {clash.b} have the same id")
-    text = found.select("doc_id", "path", "ext", F.when(F.col("ext") != "pdf", F.decode("content", "UTF-8")).alias("text"), "content")
+    text = found.select("doc_id", "path", "ext", F.when(~F.col("ext").isin(*BINARY), F.decode("content", "UTF-8")).alias("text"), "content")
     kinds = [r.ext for r in text.select("ext").distinct().collect()]
     out = None
     for ext in kinds:

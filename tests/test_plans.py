@@ -249,3 +249,60 @@ def test_settings(tmp_path, capsys):
         Config().with_value("nothing", "1")
     with pytest.raises(ValueError):
         Config(summaries="some")
+
+
+def a_docx(paragraphs):
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>' if style else f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>" for style, text in paragraphs)
+    body += "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_docx_and_latex(spark):
+    from foliant.sources import office
+
+    data = a_docx([("", "before"), ("Heading1", "One"), ("", "text"), ("Heading2", "Two"), ("", "more")])
+    want = [(1, "Introduction", "before"), (1, "One", "text"), (2, "Two", "more\na | b")]
+    assert office.docx_nodes(data) == want and office.docx_nodes(b"no zip") == []
+    assert [tuple(r)[2:] for r in readers.source(spark, bytes_data=data, format="docx").orderBy("seq").collect()] == want
+    tex = "\\documentclass{a}\n\\begin{document}\nstart % hidden\n\\section{A {b} c}\nx 5\\% y\n\\subsection*{D}\nz\n\\end{document}"
+    assert office.latex_nodes(tex) == [(1, "Introduction", "start"), (1, "A {b} c", "x 5\\% y"), (2, "D", "z")]
+    assert office.latex_nodes("") == [] and readers.source(spark, content=tex, format="tex").count() == 3
+
+
+def test_rendering():
+    from pyspark.sql import Row
+
+    from foliant.plans import render
+
+    assert render.table_text([(1, "a\nb"), (22, "x" * 70)], ["id", "t"]).split("\n")[2] == "1   a b"
+    assert render.tree_text([Row(depth=1, title="A", node_id=2), Row(depth=2, title="B", node_id=3)]) == "- A [2]\n  - B [3]"
+
+
+def test_documents_are_compiled_as_they_arrive(spark, tmp_path):
+    from foliant.functions import text as T
+    from foliant.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# One\nThe first of the documents that arrive here.")
+    e = Engine(spark, str(tmp_path / "ws"))
+    run = lambda: ingest(e, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    assert len(e.list_document_ids()) == 1
+    (tmp_path / "in" / "b.md").write_text("# Two\nThe second of the documents that arrive here.")
+    run()
+    assert sorted(r.sections for r in e.list_documents().collect()) == ["One", "Two"]
+    from pyspark.sql import functions as F
+
+    T.use_token_estimate(lambda t: F.size(T.words(t)))
+    try:
+        assert spark.range(1).select(T.token_estimate(F.lit("a b c")).alias("n")).first().n == 3
+    finally:
+        T.use_token_estimate(None)
+    assert spark.range(1).select(T.token_estimate(F.lit("a b c")).alias("n")).first().n == 2
