@@ -12,17 +12,18 @@ from ..functions.text import composite, data_richness, density_of, is_index_term
 from .trees import leaf_counts
 
 
-def postings(nodes: DataFrame, max_keywords: int = 5000, max_nodes: int = 20, only: Sequence[str] | None = None) -> DataFrame:
+def postings(nodes: DataFrame, max_keywords: int | None = 5000, max_nodes: int = 20, only: Sequence[str] | None = None) -> DataFrame:
     """Weighted postings (doc_id, keyword, node_id, weight, depth), of all keywords or of those in ``only``.
 
     An occurrence adds 2 in a title, 1.5 in a summary, 1 in content; per document the keywords of most
-    occurrences stay, and per keyword the heaviest nodes, with weights relative to the heaviest.
+    occurrences stay (all, if ``max_keywords`` is None), and per keyword the heaviest nodes, with weights
+    relative to the heaviest.
     """
     fields = [("title", 2.0), ("content", 1.0)] + ([("summary", 1.5)] if "summary" in nodes.columns else [])
     texts = F.explode(F.array(*[F.struct(F.col(c).alias("text"), F.lit(w).alias("w")) for c, w in fields]))
     each = nodes.select("doc_id", "node_id", "depth", texts.alias("f")).select("doc_id", "node_id", "depth", F.explode(pieces(F.col("f.text"))).alias("keyword"), "f.w").where(is_index_term(F.col("keyword")))
-    if only is None:
-        return _kept(each, max_keywords, max_nodes)
+    if only is None or max_keywords is None:
+        return _kept(each if only is None else each.where(F.col("keyword").isin(list(only))), max_keywords, max_nodes)
     # a document of no more words than keywords stay loses none, so the asked ones are all that is needed of it
     held = each.groupBy("doc_id", "node_id", "depth", F.when(F.col("keyword").isin(list(only)), F.col("keyword")).alias("keyword"), "w").agg(F.count("*").alias("n"))
     held = cut(held, "asked")
@@ -32,15 +33,20 @@ def postings(nodes: DataFrame, max_keywords: int = 5000, max_nodes: int = 20, on
     return whole.unionByName(_kept(asked, max_keywords, max_nodes))
 
 
-def _kept(each: DataFrame, max_keywords: int, max_nodes: int) -> DataFrame:
+def _kept(each: DataFrame, max_keywords: int | None, max_nodes: int) -> DataFrame:
     """Postings of occurrences (doc_id, node_id, depth, keyword, w), each counting once or ``n`` times."""
     n = F.sum("n") if "n" in each.columns else F.count("*")
-    per_node = each.repartition("doc_id").groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), n.alias("n"))
-    # one shuffle by document serves the totals, the ranks and the cuts
+    # one shuffle serves the sums, the ranks and the cuts; only the cut of keywords needs a document in one place
+    dealt = each.repartition("doc_id", "keyword") if max_keywords is None else each.repartition("doc_id")
+    per_node = dealt.groupBy("doc_id", "keyword", "node_id", "depth").agg(F.sum("w").alias("w"), n.alias("n"))
     by_kw = Window.partitionBy("doc_id", "keyword").orderBy(F.desc("w"), "node_id")
-    p = per_node.withColumn("r", F.row_number().over(by_kw)).withColumn("most", F.first("w").over(by_kw)).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "keyword")))
+    p = per_node.withColumn("r", F.row_number().over(by_kw)).withColumn("most", F.first("w").over(by_kw))
+    weighted = ["doc_id", "keyword", "node_id", (F.col("w") / F.col("most")).alias("weight"), "depth"]
+    if max_keywords is None:
+        return p.where(F.col("r") <= max_nodes).select(*weighted)
+    p = p.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "keyword")))
     p = p.where(F.col("r") <= max_nodes).withColumn("kr", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("total"), "keyword")))
-    return p.where(F.col("kr") <= max_keywords).select("doc_id", "keyword", "node_id", (F.col("w") / F.col("most")).alias("weight"), "depth")
+    return p.where(F.col("kr") <= max_keywords).select(*weighted)
 
 
 def expand_synonyms(posting: DataFrame, synonyms: DataFrame, factor: float = 0.6, most: int = 5) -> DataFrame:
