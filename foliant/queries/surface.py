@@ -13,7 +13,7 @@ from ..plans.ask import cross_find
 from ..plans.llm import rule_analysis
 from ..sources import markdown, pages, readers
 from .catalog import (
-    SQL, SQL_NODES, SQL_POSTINGS, SQL_SCOUT, TERMS, _asked, _entries, _list, _paged, _scout, _sql_entries, _sql_kinds, _sql_pages, _sql_toc, _sql_versions, _tree, _versions, SQL_TOKENS, SQL_TREE, docs, nodes, query, sql_words, table,
+    SQL, SQL_NODES, SQL_POSTINGS, SQL_SCOUT, TERMS, _asked, _entries, _list, _paged, _scout, _sql_entries, _sql_kinds, _sql_pages, _sql_toc, _sql_versions, _tree, _versions, SQL_TOKENS, SQL_TREE, docs, nodes, postings, query, sql_words, table,
 )
 
 # sources
@@ -261,7 +261,7 @@ def related_sections(spark, sf_dir):
 @query(f"""WITH {SQL_POSTINGS} SELECT doc_id, count(DISTINCT keyword) AS topics, count(*) AS entries, (SELECT count(*) FROM nodes n WHERE n.doc_id = p.doc_id AND NOT is_leaf) AS nav_entries, (SELECT count(*) FROM nodes n WHERE n.doc_id = p.doc_id AND parent_id IS NOT NULL) AS child_routes FROM postings p GROUP BY doc_id""")
 def index_counts(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    p = indexes.postings(n).groupBy("doc_id").agg(F.count_distinct("keyword").alias("topics"), F.count("*").alias("entries"))
+    p = postings(n).groupBy("doc_id").agg(F.count_distinct("keyword").alias("topics"), F.count("*").alias("entries"))
     k = n.groupBy("doc_id").agg(F.count_if(~F.col("is_leaf")).alias("nav_entries"), F.count("parent_id").alias("child_routes"))
     return p.join(k, "doc_id").select("doc_id", "topics", "entries", "nav_entries", "child_routes")
 
