@@ -168,7 +168,7 @@ def raw_counts(spark, sf_dir):
 
 @query(f"WITH {SQL_POSTINGS} SELECT doc_id, keyword, node_id, round(weight, 6) AS weight, row_number() OVER (PARTITION BY doc_id, keyword ORDER BY weight DESC, node_id)::INT AS rank FROM postings WHERE list_contains({_asked}, keyword) QUALIFY rank <= 3")
 def cross_document_find(spark, sf_dir):
-    return cross_find(indexes.postings(nodes(spark, sf_dir), only=TERMS), TERMS).select("doc_id", "keyword", "node_id", F.round("weight", 6).alias("weight"), "rank")
+    return cross_find(postings(nodes(spark, sf_dir), only=TERMS), TERMS).select("doc_id", "keyword", "node_id", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query(rf"""WITH q AS (SELECT item_id, lower(text) AS q, len(list_distinct(k)) AS n, array_to_string(list_sort(list_distinct(k)), '|') AS keywords FROM
@@ -254,7 +254,7 @@ def fingerprint_forms(spark, sf_dir):
 
 @query(f"WITH {SQL_POSTINGS} SELECT doc_id, node_id, round(max(weight), 6) AS weight FROM postings WHERE list_contains({_asked}, keyword) GROUP BY ALL")
 def related_sections(spark, sf_dir):
-    p = indexes.postings(nodes(spark, sf_dir), only=TERMS)
+    p = postings(nodes(spark, sf_dir), only=TERMS)
     return p.groupBy("doc_id", "node_id").agg(F.round(F.max("weight"), 6).alias("weight"))
 
 
