@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one document of each group of near duplicates: five-word shingles, candidates by SimHash with covering masks (and bands beyond their radius), similarity 0.8 or more."""
     return shingles.one_of_each(docs)
 
 

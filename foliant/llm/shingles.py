@@ -1,24 +1,24 @@
-"""Near duplicates by exact similarity of word-shingle sets, found through MinHash bands.
+"""Near duplicates by SimHash with covering masks, and exact similarity of word-shingle sets.
 
 A document is the set of its shingles of ``words`` words (A-Z lower-cased; one shingle if it has fewer
 words). Two documents are near duplicates at a Jaccard similarity of ``least`` or more, and a group is
 a connected component of that relation.
 
-Candidates: 32 band keys of 5 minima each. A pair at similarity s shares none with a probability of
-(1 - s^5)^32: 3.0e-6 at 0.8, 7e-13 at 0.9. Documents that share a key, directly or through others,
-form a candidate group, and each group's texts meet once: there all pairs are compared by their exact
-similarity, but for pairs already connected. The document whose shingles are the commonest goes
-first, so a group around one original is done after one step.
+Candidates: sets whose 64-bit SimHash fingerprints differ in ``radius`` bits or fewer, by the covering
+masks of ``simhash``, none of which is lost. Within 4 bits fall pairs at a similarity of 0.8, 0.9 and 0.95
+with a probability of about 0.03, 0.19 and 0.50 only, and masks for the radius that 0.8 needs would be many
+thousands. So that no pair beyond the radius is lost, sets that share a band of MinHash are candidates too:
+32 band keys of 5 minima each. A pair at similarity s shares none with a probability of (1 - s^5)^32: 3.0e-6
+at 0.8, 7e-13 at 0.9. Documents that are linked either way, directly or through others, form a candidate
+group, and each group's texts meet once: there all pairs are compared by their exact similarity, but for
+pairs already connected. The document whose shingles are the commonest goes first, so a group around one
+original is done after one step.
 
 A candidate group of more than ``block`` sets is dealt to blocks: each finds its own components, then the
 components' firsts are compared, which connects most of a group of alike documents. What is not in a
 group's largest component by then is compared, a block at a time, with every block of the group, and the
 links between components found so are followed to the end. Every task holds two blocks at most.
 
-The covering masks of ``simhash`` serve a radius of 4 of 64 bits, within which pairs at a similarity of 0.8,
-0.9 and 0.95 fall with a probability of about 0.03, 0.19 and 0.50 only; masks for the radius that 0.8 needs
-would be many thousands. Hence the bands.
-
 Defined results: a null text counts as empty; texts without words are one group. Equal sets are told
 by 64-bit hashes and enter once.
 """
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, components, cut, parts, stay, tidy
+from .simhash import fingerprint_links, majority
 
 BANDS, ROWS = 32, 5
 _TIMES, _PLUS = np.random.default_rng(1).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
@@ -98,13 +99,15 @@ def similar_roots(sets: list[np.ndarray], least: float = 0.8) -> list[int]:
 def _prints(words: int):
     def prints(record_batches):
         for f in record_batches:
-            sets, keys = [], []
+            sets, fps, keys = [], [], []
             for text in f.column("text").to_pylist():
                 s = shingle_set(text, words)
                 sets.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
+                fps.append(majority(s))
                 keys.append(band_keys(s))
             keep = ["part", "idx", "doc_id"]
-            yield pa.RecordBatch.from_arrays([*(f.column(c) for c in keep), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [*keep, "set", "keys"])
+            columns = [pa.array(sets, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(f.column(c) for c in keep), *columns], [*keep, "set", "fp", "keys"])
 
     return prints
 
@@ -258,16 +261,25 @@ def _linked(sets: DataFrame) -> DataFrame:
     return stars.where("hub is not null").select(F.col("set").alias("a"), F.col("hub").alias("b")).unionByName(across).where("a <> b").distinct()
 
 
-def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 4096) -> DataFrame:
+def _fingerprint_linked(sets: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all sets with shingles whose fingerprints differ in ``radius`` bits or fewer."""
+    some = sets.where("size(keys) > 0").select("set", "fp")
+    hubs = cut(some.groupBy("fp").agg(F.min("set").alias("hub")), "hubs")
+    same = some.join(hubs, "fp").where("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    near = fingerprint_links(hubs, radius).toDF("fp_a", "fp_b").join(hubs.toDF("fp_a", "a"), "fp_a").join(hubs.toDF("fp_b", "b"), "fp_b")
+    return same.unionByName(near.select("a", "b"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 4096, radius: int = 4) -> DataFrame:
     """``docs`` with only the row of the least doc_id (null last, then as read) of each component."""
     spark = docs.sparkSession
     batches(spark)
     table = stay(docs, "near")
     rows = table.select("part", "idx", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    prints = cut(rows.mapInArrow(tidy(_prints(words)), "part int, idx long, doc_id long, set long, keys array<long>"), "prints")
+    prints = cut(rows.mapInArrow(tidy(_prints(words)), "part int, idx long, doc_id long, set long, fp long, keys array<long>"), "prints")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "part", "idx")
-    sets = cut(prints.groupBy("set").agg(F.min(order).alias("best"), F.first("keys").alias("keys")), "sets")
-    met = components(_linked(sets))
+    sets = cut(prints.groupBy("set").agg(F.min(order).alias("best"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    met = components(_fingerprint_linked(sets, radius).unionByName(_linked(sets)))
     met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct())
     met = met.join(met.groupBy("root").agg(F.count("*").alias("n")), "root")
     wanted = cut(met.join(sets, met.node == sets.set).select("best.part", "best.idx", F.col("root").alias("group"), "set", "n"), "wanted")

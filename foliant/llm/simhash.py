@@ -42,12 +42,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     starts = (ends - lengths).tolist()
     n = max(1, len(w) - words + 1)
     last = ends.tolist()[min(words, len(w)) - 1 :]
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n], last, strict=True)], "<u8")
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n], last, strict=True)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
+    for i in range(0, len(hashes), _CHUNK):
         part = hashes[i : i + _CHUNK]
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def covering_masks(radius: int, seed: int = 1) -> np.ndarray:

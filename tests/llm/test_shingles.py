@@ -86,3 +86,24 @@ def test_sets_of_one_key_are_linked_across_ranges(spark):
         assert any(x.a in s and x.b in s for s in by.values())
         root[max(find(x.a), find(x.b))] = min(find(x.a), find(x.b))
     assert all(len({find(i) for i in s}) == 1 for s in by.values()) and len(links) <= sum(len(s) for s in by.values())
+
+
+def test_covering_masks_give_candidates_of_their_own(spark, monkeypatch):
+    """Without bands, pairs within 4 bits are still found, and still compared by their sets."""
+    monkeypatch.setattr(shingles, "_linked", lambda sets: sets.sparkSession.createDataFrame([], "a long, b long"))
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    pairs = {}
+    while len(pairs) < 4:
+        a = [word() for _ in range(200)]
+        b = list(a)
+        for at in r.sample(range(200), r.randint(1, 6)):
+            b[at] = word()
+        x, y = (shingles.shingle_set(" ".join(t)) for t in (a, b))
+        bits = (shingles.majority(x) ^ shingles.majority(y)).bit_count()
+        similar = len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+        pairs.setdefault((bits <= 4, similar), (" ".join(a), " ".join(b)))
+    order = sorted(pairs)
+    rows = [(10 * i + k, t, "en", "s", 1, 0.5, "p") for i, p in enumerate(order) for k, t in enumerate(pairs[p])]
+    kept = sorted(x.doc_id for x in shingles.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert order[-1] == (True, True) and kept == [0, 1, 10, 11, 20, 21, 30]
